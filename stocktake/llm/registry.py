@@ -1,13 +1,18 @@
 """The operators' queries and, where SQL can say the same, their SQL."""
 
-from stocktake.llm import exact_dedup, quality, url_filter
+from stocktake.llm import bpe, exact_dedup, line_dedup, quality, topk, url_filter
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
+    "op4_bpe": bpe.op4_bpe,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
+    "op1_topk": topk.OP1_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
