@@ -1,9 +1,11 @@
 """The operators' queries and, where SQL can say the same, their SQL."""
 
-from stocktake.llm import bpe, exact_dedup, line_dedup, quality, topk, url_filter
+from stocktake.llm import bpe, exact_dedup, fm_dedup, line_dedup, quality, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_fm_dedup": fm_dedup.op3_fm_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_line_dedup": line_dedup.op7_line_dedup,
