@@ -64,8 +64,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     sure = stash(suspects.groupBy("dig", "key").agg(F.count("*").alias("n"), F.max("did").alias("keep")).where(F.col("n") >= min_docs).select("dig", "keep"), "confirmed")
     gone = suspects.select("did", "rid", "dig").join(maybe_broadcast(sure, sure.count(), 40), "dig").where("did != keep")
     drops = stash(gone.groupBy("did", "rid").agg(F.collect_set("dig").alias("digs")), "drops")
-    rows, n = drops.agg(F.count("*"), F.sum(F.size("digs"))).first()
-    joined = keyed.join(maybe_broadcast(drops, 1, 40 * rows + 24 * (n or 0)), ["did", "rid"], "left")
+    # drops grow with the documents: texts are dealt by document at every size
+    joined = keyed.join(drops.hint("merge"), ["did", "rid"], "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
