@@ -201,9 +201,8 @@ def covered_spans(docs: DataFrame, view: ByteView | WordView, find: Callable[[li
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``(did, rid, text, spans)``: every row's text with the spans of its document, if any."""
-    per = stash(spans.groupBy("did", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    rows, n = per.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    return doc_keys(docs).join(maybe_broadcast(per, 1, 40 * rows + 24 * (n or 0)), ["did", "rid"], "left")
+    per = spans.groupBy("did", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return doc_keys(docs).join(per.hint("merge"), ["did", "rid"], "left")
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
