@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only when its measured size is below this many bytes.
 BROADCAST_BYTES = 8 << 20
@@ -57,11 +58,34 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROAD
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def doc_keys(docs: DataFrame) -> DataFrame:
-    """``(did, rid, text)``: id with nulls replaced, a hash that tells rows of one id apart, text without nulls."""
+def doc_keys(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``(did, rid, text)``: id with nulls replaced, a hash that tells rows of one id apart, text without nulls.
+
+    ``carry`` adds ``row``, a struct of all columns but the text, under which no name can clash.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.select(did.alias("did"), text.alias("text")).select("did", F.xxhash64("did", "text").alias("rid"), "text")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []
+    return docs.select(did.alias("did"), text.alias("text"), *row).select("did", F.xxhash64("did", "text").alias("rid"), "text", *["row"] * carry)
+
+
+def with_row(schema: str, keyed: DataFrame) -> T.StructType:
+    """The schema of a DDL string, with the ``row`` that ``keyed`` carries, if it does."""
+    fields = T._parse_datatype_string(schema).fields
+    return T.StructType([*fields, *[f for f in keyed.schema.fields if f.name == "row"]])
+
+
+def new_texts(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order, from ``out(text, row)``; ``n_chars`` follows the new text."""
+    cols = []
+    for c in docs.columns:
+        if c == "text":
+            cols.append(F.col("text"))
+        elif c == "n_chars":
+            cols.append(F.length("text").cast(docs.schema[c].dataType).alias(c))
+        else:
+            cols.append(F.col("row").getField(c).alias(c))
+    return out.select(*cols)
 
 
 def public_id(col: str = "did") -> Column:

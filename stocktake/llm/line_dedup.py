@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import doc_keys, maybe_broadcast, public_id, stash, table
+from stocktake.llm.common import doc_keys, maybe_broadcast, public_id, stash, table, with_row
 from stocktake.llm.repeats import text_size, twice_seen
 
 
@@ -33,8 +33,8 @@ def _long(key: bytes, chars: int) -> bool:
     return len(key) >= chars and (len(key) >= 4 * chars or sum(1 for c in key if c & 0xC0 != 0x80) >= chars)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``(did, rid, doc_id, text, n_lines, n_dropped)``: what is left of every row's text."""
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: bool = False) -> DataFrame:
+    """``(did, rid, doc_id, text, n_lines, n_dropped)``, and ``row`` with ``carry``: what is left of every row's text."""
     keyed = doc_keys(docs)
     _, _, lines = text_size(keyed)
 
@@ -65,7 +65,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     gone = suspects.select("did", "rid", "dig").join(maybe_broadcast(sure, sure.count(), 40), "dig").where("did != keep")
     drops = stash(gone.groupBy("did", "rid").agg(F.collect_set("dig").alias("digs")), "drops")
     # drops grow with the documents: texts are dealt by document at every size
-    joined = keyed.join(drops.hint("merge"), ["did", "rid"], "left")
+    joined = doc_keys(docs, carry).join(drops.hint("merge"), ["did", "rid"], "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,10 +81,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
                     dropped.append(0)
                 total.append(n)
                 texts.append(t)
-            yield pa.RecordBatch.from_arrays([b["did"], b["rid"], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], ["did", "rid", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([b["did"], b["rid"], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), *([b["row"]] if carry else [])], ["did", "rid", "text", "n_lines", "n_dropped", *["row"] * carry])
 
-    out = joined.select("did", "rid", "text", "digs").mapInArrow(keep, "did long, rid long, text string, n_lines long, n_dropped long")
-    return out.select("did", "rid", public_id().alias("doc_id"), "text", "n_lines", "n_dropped")
+    schema = with_row("did long, rid long, text string, n_lines long, n_dropped long", joined)
+    out = joined.select("did", "rid", "text", "digs", *["row"] * carry).mapInArrow(keep, schema)
+    return out.select("did", "rid", public_id().alias("doc_id"), "text", "n_lines", "n_dropped", *["row"] * carry)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

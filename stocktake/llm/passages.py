@@ -199,10 +199,10 @@ def covered_spans(docs: DataFrame, view: ByteView | WordView, find: Callable[[li
     return copies.union(shared_windows)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, carry: bool = False) -> DataFrame:
     """``(did, rid, text, spans)``: every row's text with the spans of its document, if any."""
     per = spans.groupBy("did", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return doc_keys(docs).join(per.hint("merge"), ["did", "rid"], "left")
+    return doc_keys(docs, carry).join(per.hint("merge"), ["did", "rid"], "left")
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:

@@ -150,5 +150,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> Data
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score at least ``cut``; texts don't move."""
+    marks = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = fit(stash(document_statistics(marked), "statistics").join(marks, "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics(t or "") for t in b["text"].to_pylist()])
+                yield b.filter(pa.array(model.score(x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

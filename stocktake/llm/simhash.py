@@ -35,8 +35,8 @@ from stocktake.llm.components import connected_components
 BITS = 64
 #: Fingerprints that the plan of parts is estimated from.
 SAMPLE = 2048
-#: Microseconds, about, to deal out a probe and to verify a candidate.
-PROBE_COST, PAIR_COST = 2.0, 0.004
+#: Microseconds, about, to deal out a probe and to verify a candidate in each of its fingerprints.
+PROBE_COST, PAIR_COST = 2.0, 0.01
 #: Buckets up to this size compare all pairs at once; larger ones are searched from member to member.
 SMALL = 48
 
@@ -104,8 +104,8 @@ def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def make_plan(sample: np.ndarray, n: int, distance: int) -> Plan:
-    """The cheapest parts and thresholds for ``n`` fingerprints like those of ``sample``."""
+def make_plan(sample: np.ndarray, n: int, distance: int, words: int = 1) -> Plan:
+    """The cheapest parts and thresholds for ``n`` rows with fingerprints like those of ``sample``, ``words`` a row."""
     i, j = np.triu_indices(len(sample), 1)
     apart = sample[i] ^ sample[j]
     best: tuple[float, Plan] | None = None
@@ -123,7 +123,7 @@ def make_plan(sample: np.ndarray, n: int, distance: int) -> Plan:
                 probes = sum(comb(w, x) for x in range((t + 1) // 2 + 1))
                 # flipping on both sides meets a pair several times over
                 twice = probes * probes / 2.0**w / even
-                cost[t] = PROBE_COST * n * probes + PAIR_COST * 0.5 * n * n * near * max(1.0, twice)
+                cost[t] = PROBE_COST * n * probes + PAIR_COST * words * 0.5 * n * n * near * max(1.0, twice)
             costs.append(cost)
         # thresholds that add up to distance - parts + 1, by the cheapest sum
         state: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
@@ -193,8 +193,7 @@ def near_links(groups: DataFrame, names: list[str], distance: int, overall: int)
     n = groups.count()
     rows = groups.select("f0").orderBy(F.xxhash64("f0"), "f0").limit(SAMPLE).collect()
     sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    plan = make_plan(sample, n, distance)
-    k = len(names)
+    plan = make_plan(sample, n, distance, len(names))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

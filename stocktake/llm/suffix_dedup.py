@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktake.llm.common import public_id, table
+from stocktake.llm.common import public_id, table, with_row
 from stocktake.llm.passages import ByteView, covered_spans, merged, with_spans
 from stocktake.llm.repeats import text_size
 from stocktake.llm.suffix import induced_sort
@@ -55,12 +55,12 @@ def repeated_windows(contents: list[bytes], places: np.ndarray, length: int) ->
     return which[later], offset[later]
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
     """``(did, rid, text, spans)``."""
     gram = max(4, min(GRAM, length // 2))
     _, size, _ = text_size(docs)
     spans = covered_spans(docs, ByteView(length, gram), lambda c, p: repeated_windows(c, p, length), 2 * size // (length - gram + 2))
-    return with_spans(docs, spans)
+    return with_spans(docs, spans, carry)
 
 
 def cut_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -84,8 +84,8 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(did, rid, doc_id, text, n_bytes, n_removed, n_spans, kept_sha256)``.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """``(did, rid, doc_id, text, n_bytes, n_removed, n_spans, kept_sha256)``, and ``row`` with ``carry``.
 
     The digest and the counts are of bytes; ``text`` also keeps the characters that a span cuts.
     """
@@ -99,10 +99,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 text = cut_bytes(raw, whole_characters(raw, spans)).decode("utf-8", "replace") if spans else t
                 for o, x in zip(out, (text, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest())):
                     o.append(x)
-            yield pa.RecordBatch.from_arrays([b["did"], b["rid"], pa.array(out[0], pa.string()), *(pa.array(o, pa.int64()) for o in out[1:4]), pa.array(out[4], pa.string())], ["did", "rid", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b["did"], b["rid"], pa.array(out[0], pa.string()), *(pa.array(o, pa.int64()) for o in out[1:4]), pa.array(out[4], pa.string()), *([b["row"]] if carry else [])], ["did", "rid", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["row"] * carry])
 
-    cut = removed_spans(docs, length).select("did", "rid", "text", "spans").mapInArrow(run, "did long, rid long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return cut.select("did", "rid", public_id().alias("doc_id"), "text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = removed_spans(docs, length, carry)
+    schema = with_row("did long, rid long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string", found)
+    cut = found.select("did", "rid", "text", "spans", *["row"] * carry).mapInArrow(run, schema)
+    return cut.select("did", "rid", public_id().alias("doc_id"), "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["row"] * carry)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
