@@ -76,7 +76,8 @@ def segments(h: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple
     last = np.concatenate([new, [len(at)]]) - 1
     owner = doc[at[first]]
     begin = starts[owner]
-    return owner.astype(np.int64), at[first] - begin, at[last] + length - begin, g[place[first]]
+    # the least of many hashes lies near zero: hashed again, anchors are even
+    return owner.astype(np.int64), at[first] - begin, at[last] + length - begin, mix(g[place[first]] + U(0x632BE59BD9B4E019))
 
 
 def pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]]:

@@ -125,7 +125,7 @@ def _raw(texts: list) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-SEGMENT = "did long, rid long, start long, end long, anchor long, dig binary, content binary"
+SEGMENT = "did long, rid long, start long, end long, anchor long, dig long, content binary"
 SPAN = "did long, rid long, start long, end long"
 
 
@@ -150,26 +150,26 @@ def covered_spans(docs: DataFrame, view: ByteView | WordView, find: Callable[[li
             for doc, start, end, anchor, content in view.segments(_raw(b["text"].to_pylist())):
                 at = np.flatnonzero(twice.maybe(anchor))
                 digs, contents = [], []
-                for j in at.tolist():
+                for j, a in zip(at.tolist(), anchor[at].tolist()):
                     c = content(j)
-                    d = xxhash.xxh3_128_digest(c)
-                    if d in sent:
+                    d = xxhash.xxh3_64_intdigest(c)
+                    if (a, d) in sent:
                         c = None
                     else:
                         if len(sent) >= SENT:
                             sent.clear()
-                        sent.add(d)
+                        sent.add((a, d))
                     digs.append(d)
                     contents.append(c)
                 rows = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays([b["did"].take(rows), b["rid"].take(rows), pa.array(start[at]), pa.array(end[at]), pa.array(anchor[at].view(np.int64)), pa.array(digs, pa.binary()), pa.array(contents, pa.binary())], ["did", "rid", "start", "end", "anchor", "dig", "content"])
+                yield pa.RecordBatch.from_arrays([b["did"].take(rows), b["rid"].take(rows), pa.array(start[at]), pa.array(end[at]), pa.array(anchor[at].view(np.int64)), pa.array(np.array(digs, np.uint64).view(np.int64)), pa.array(contents, pa.binary())], ["did", "rid", "start", "end", "anchor", "dig", "content"])
 
     found = stash(keyed.mapInArrow(suspect, SEGMENT), "segments")
     place = F.struct("did", "rid", "start")
-    # one row for equal segments, with the earliest place; summed within tasks first
+    # one row for equal segments (equal anchor and digest: 128 bits), with the earliest place; summed within tasks first
     distinct = stash(found.groupBy("anchor", "dig").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
-    copied = distinct.where("n > 1").select("dig", "first")
-    copies = found.select("did", "rid", "start", "end", "dig").join(copied, "dig").where(place != F.col("first")).select("did", "rid", "start", "end")
+    copied = distinct.where("n > 1").select("anchor", "dig", "first")
+    copies = found.select("did", "rid", "start", "end", "anchor", "dig").join(copied, ["anchor", "dig"]).where(place != F.col("first")).select("did", "rid", "start", "end")
     # anchors of several different segments
     shared = stash(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "shared")
     hint = maybe_broadcast(shared, shared.count(), 24)

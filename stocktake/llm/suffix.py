@@ -121,7 +121,7 @@ def _induce(symbol: np.ndarray, alphabet: int, seeds: np.ndarray, seed_lcp: np.n
     least = scratch((levels, total), np.uint8, memory)  # least[k, i]: least common prefix among the 2^k entries up to i
     places = scratch(total, np.int64, memory)
     seeded = scratch(total, np.bool_, memory)
-    m, size = 0, 4096
+    m, size, done = 0, 4096, 0
     last_key, last_rank, last_place = -1, 0, 0
     while queue.advance():
         while len(queue.key):
@@ -151,16 +151,18 @@ def _induce(symbol: np.ndarray, alphabet: int, seeds: np.ndarray, seed_lcp: np.n
             pair = ~seed & (k0 == key)
             if pair.any():
                 a, b = r0[pair] + 1, rank[pair]
+                if int(b.max()) >= done:  # tables follow the sequence when they are asked
+                    for j in range(1, levels):
+                        half = 1 << (j - 1)
+                        if half >= m:
+                            break
+                        lo = max(done, half)
+                        np.minimum(least[j - 1, lo:m], least[j - 1, lo - half : m - half], out=least[j, lo:m])
+                    done = m
                 k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
                 lcp[pair] = 1 + np.minimum(least[k, b], least[k, a + (1 << k) - 1])
             np.minimum(lcp, cap, out=lcp)
             least[0, m : m + t] = lcp
-            for j in range(1, levels):
-                half = 1 << (j - 1)
-                if half >= m + t:
-                    break
-                a = max(m, half)
-                np.minimum(least[j - 1, a : m + t], least[j - 1, a - half : m + t - half], out=least[j, a : m + t])
             places[m : m + t] = place
             seeded[m : m + t] = seed
             last_key, last_rank, last_place = int(key[-1]), int(rank[-1]), int(place[-1])
