@@ -17,10 +17,12 @@ the same result; a null id is the smallest; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from stocktake.llm.common import public_id, table
@@ -29,7 +31,7 @@ from stocktake.llm.repeats import text_size
 from stocktake.llm.suffix import induced_sort
 
 LENGTH = 20
-GRAM = 8
+GRAM = 12
 
 
 class WaveletTree:
@@ -87,13 +89,14 @@ class FmIndex:
 
 def repeated_windows(contents: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Segments and offsets of windows of ``length`` words that occur at a smaller place too."""
-    number: dict[bytes, int] = {}
+    # rare words get small numbers, equally rare ones in no order of the text: the sorter's batches end where a successor comes soon after
+    split = [c.split(b" ") for c in contents]
+    sizes = [len(w) for w in split]
+    counted = Counter(w for words in split for w in words)
+    number = {w: i for i, w in enumerate(sorted(counted, key=lambda w: (counted[w], xxhash.xxh3_64_intdigest(w))), 2)}
     ids: list[int] = []
-    sizes = []
-    for c in contents:
-        words = c.split(b" ")
-        sizes.append(len(words))
-        ids += [number.setdefault(w, len(number) + 2) for w in words]
+    for words in split:
+        ids += [number[w] for w in words]
         ids.append(1)
     sizes = np.array(sizes, np.int64)
     t = np.array([*ids, 0], np.int32)
@@ -126,7 +129,7 @@ def repeated_windows(contents: list[bytes], places: np.ndarray, length: int) ->
 
 def fm_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(did, rid, doc_id, kept, n_words, n_removed, kept_sha256)``: ``kept`` are the words left, joined by one space."""
-    gram = max(1, min(GRAM, length // 2))
+    gram = max(1, min(GRAM, length - length // 3))
     _, size, _ = text_size(docs)
     spans = covered_spans(docs, WordView(length, gram), lambda c, p: repeated_windows(c, p, length), size // 6 * 2 // (length - gram + 2))
 
