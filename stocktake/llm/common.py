@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_folder() -> str:
+    """For a local session only; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="stocktake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the folder that all executors share.
 
@@ -29,7 +39,7 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"stocktake-{os.getpid()}")
+        base = "file://" + _local_folder()
     return f"{base.rstrip('/')}/stocktake-{uuid.uuid4().hex}"
 
 

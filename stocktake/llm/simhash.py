@@ -192,7 +192,7 @@ def near_links(groups: DataFrame, names: list[str], distance: int, overall: int)
     """``(u, v)``: links between ``node``s of the distinct fingerprints ``(node, f0, ...)``, enough to connect all that are near."""
     n = groups.count()
     rows = groups.select("f0").orderBy(F.xxhash64("f0"), "f0").limit(SAMPLE).collect()
-    sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in rows] or [0], np.int64).view(np.uint64)
     plan = make_plan(sample, n, distance, len(names))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
