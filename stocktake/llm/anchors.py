@@ -54,16 +54,19 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def segments(h: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(h: np.ndarray, starts: np.ndarray, length: int, gram: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(document, start, end, anchor)`` of all segments of documents that lie one after the other in ``h``.
 
     ``starts``: where each document begins, and where the last one ends; start and end count from there.
+    ``seed`` changes which substrings are small.
     """
     n = len(h)
     if n < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     doc = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
     g = gram_hashes(h, gram)
+    if seed:
+        g = mix(g + U(seed * 0x9E3779B97F4A7C15 % 2**64))
     bits = max(1, int(n).bit_length())
     low = U((1 << bits) - 1)
     place = window_minima((g & ~low) | np.arange(len(g), dtype=np.uint64), length - gram + 1) & low

@@ -5,7 +5,8 @@ once; equal segments become one row with the place of the earliest; later copies
 are covered whole. Distinct segments that share an anchor meet in a shard of
 bounded size, where an index finds the windows that they share; the index is the
 caller's (``find``): a suffix array, or an FM-index. Only segments reach a shard,
-so its size follows repeated text, not the corpus.
+so its size follows repeated text, not the corpus; an anchor that has more than a
+shard of different segments by itself is split by a second choice of anchors.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.llm.anchors import CHUNK, pieces, segments
+from stocktake.llm.anchors import CHUNK, mix, pieces, segments
 from stocktake.llm.common import doc_keys, maybe_broadcast, stash
 from stocktake.llm.repeats import twice_seen
 
 #: Bytes of segments in a shard, about.
 SHARD_BYTES = 2 << 20
+#: How often anchors with more than that are split.
+LEVELS = 3
 #: Digests of segments that a task has sent; it starts afresh beyond, which costs a second sending.
 SENT = 500_000
 _TABLE = (np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -39,14 +42,14 @@ Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], by
 class ByteView:
     """A text as its UTF-8 bytes."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram = length, gram
+    def __init__(self, length: int, gram: int, seed: int = 0):
+        self.length, self.gram, self.seed = length, gram, seed
 
     def segments(self, raws: list[bytes]) -> Iterator[Found]:
         for piece in pieces([len(r) for r in raws], self.length):
             h = _TABLE[np.frombuffer(b"".join([raws[i][a:b] for i, a, b in piece]), np.uint8)]
             starts = np.cumsum([0] + [b - a for _, a, b in piece])
-            doc, start, end, anchor = segments(h, starts, self.length, self.gram)
+            doc, start, end, anchor = segments(h, starts, self.length, self.gram, self.seed)
             owner, shift = np.array([i for i, _, _ in piece]), np.array([a for _, a, _ in piece])
             start, end, doc = start + shift[doc], end + shift[doc], owner[doc]
             yield doc, start, end, anchor, lambda j, d=doc, s=start, e=end: raws[d[j]][s[j] : e[j]]
@@ -78,8 +81,8 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class WordView:
     """A text as its words; a segment's content is its words joined by one space."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram = length, gram
+    def __init__(self, length: int, gram: int, seed: int = 0):
+        self.length, self.gram, self.seed = length, gram, seed
 
     def _hash(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """In slices at word ends, so that the arrays of powers stay small."""
@@ -102,7 +105,7 @@ class WordView:
             for piece in pieces(np.diff(first).tolist(), self.length):
                 part = np.concatenate([h[first[i] + a : first[i] + b] for i, a, b in piece])
                 cuts = np.cumsum([0] + [b - a for _, a, b in piece])
-                doc, start, end, anchor = segments(part, cuts, self.length, self.gram)
+                doc, start, end, anchor = segments(part, cuts, self.length, self.gram, self.seed)
                 local, shift = np.array([i for i, _, _ in piece]), np.array([a for _, a, _ in piece])
                 start, end = start + shift[doc], end + shift[doc]
                 base = first[local[doc]]
@@ -164,18 +167,48 @@ def covered_spans(docs: DataFrame, view: ByteView | WordView, find: Callable[[li
                 rows = pa.array(doc[at])
                 yield pa.RecordBatch.from_arrays([b["did"].take(rows), b["rid"].take(rows), pa.array(start[at]), pa.array(end[at]), pa.array(anchor[at].view(np.int64)), pa.array(np.array(digs, np.uint64).view(np.int64)), pa.array(contents, pa.binary())], ["did", "rid", "start", "end", "anchor", "dig", "content"])
 
-    found = stash(keyed.mapInArrow(suspect, SEGMENT), "segments")
+    return _resolve(keyed.mapInArrow(suspect, SEGMENT), view, find, 0)
+
+
+def _split(rows: DataFrame, view: ByteView | WordView) -> DataFrame:
+    """Segments cut into the runs of a second choice of anchors: a window is in exactly one of those, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            outer = b["anchor"].to_numpy().view(np.uint64)
+            first = b["start"].to_numpy()
+            for doc, start, end, anchor, content in view.segments(b["content"].to_pylist()):
+                contents = [content(j) for j in range(len(doc))]
+                at = pa.array(doc)
+                digs = np.array([xxhash.xxh3_64_intdigest(c) for c in contents], np.uint64).view(np.int64)
+                both = mix(outer[doc] ^ anchor).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b["did"].take(at), b["rid"].take(at), pa.array(first[doc] + start), pa.array(first[doc] + end), pa.array(both), pa.array(digs), pa.array(contents, pa.binary())], ["did", "rid", "start", "end", "anchor", "dig", "content"])
+
+    return rows.select("did", "rid", "start", "anchor", "content").mapInArrow(run, SEGMENT)
+
+
+def _resolve(segments_: DataFrame, view: ByteView | WordView, find: Callable, level: int) -> DataFrame:
+    """Spans of later copies of equal segments, and of windows that different segments of an anchor share."""
+    found = stash(segments_, "segments")
     place = F.struct("did", "rid", "start")
     # one row for equal segments (equal anchor and digest: 128 bits), with the earliest place; summed within tasks first
     distinct = stash(found.groupBy("anchor", "dig").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
     copied = distinct.where("n > 1").select("anchor", "dig", "first")
-    copies = found.select("did", "rid", "start", "end", "anchor", "dig").join(copied, ["anchor", "dig"]).where(place != F.col("first")).select("did", "rid", "start", "end")
+    spans = found.select("did", "rid", "start", "end", "anchor", "dig").join(copied, ["anchor", "dig"]).where(place != F.col("first")).select("did", "rid", "start", "end")
     # anchors of several different segments
     shared = stash(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "shared")
     hint = maybe_broadcast(shared, shared.count(), 24)
     contents = found.where("content is not null").select("anchor", "dig", "content").join(hint, "anchor", "left_semi")
     contents = contents.groupBy("anchor", "dig").agg(F.first("content").alias("content"))
     ready = stash(contents.join(distinct.select("anchor", "dig", "first"), ["anchor", "dig"]).select("anchor", "content", "first.*"), "ready")
+    if level < LEVELS:
+        # an anchor with more than a shard of different segments is split by further anchors, so that it fits many tasks
+        hot = stash(ready.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("size")).where(F.col("size") > SHARD_BYTES).select("anchor"), "hot")
+        if n := hot.count():
+            hint = maybe_broadcast(hot, n, 24)
+            finer = type(view)(view.length, max(1, view.gram * 3 // 4), level + 1)
+            spans = spans.union(_resolve(_split(ready.join(hint, "anchor", "left_semi"), finer), finer, find, level + 1))
+            ready = ready.join(hint, "anchor", "left_anti")
     size = ready.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
     length = view.length
@@ -195,8 +228,8 @@ def covered_spans(docs: DataFrame, view: ByteView | WordView, find: Callable[[li
         w = which[a]
         return pa.table({"did": pa.array(did[w]), "rid": pa.array(rid[w]), "start": pa.array(start[w] + offset[a]), "end": pa.array(start[w] + offset[b] + length)})
 
-    shared_windows = ready.select("did", "rid", "start", "content", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(shard, SPAN)
-    return copies.union(shared_windows)
+    dealt = ready.select("did", "rid", "start", "content", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return spans.union(dealt.groupBy("shard").applyInArrow(shard, SPAN))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, carry: bool = False) -> DataFrame:

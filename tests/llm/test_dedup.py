@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stocktake.llm import exact_dedup, fm_dedup, line_dedup, registry, simhash, suffix_dedup
+from stocktake.llm import exact_dedup, fm_dedup, line_dedup, passages, registry, simhash, suffix_dedup
 from stocktake.llm.anchors import segments
 from stocktake.llm.components import connected_components
 from stocktake.llm.fuse import FuseFilter
@@ -73,6 +73,18 @@ def test_suffix_dedup_brute_force(spark, length):
     assert got(out) == B.substring(rows, length)
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SHARD_BYTES", 300)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, base[: rng.randint(100, 300)] + rng.choice("xyz") + base[rng.randint(100, 250) :]) for i in range(60)]
+    out = suffix_dedup.suffix_dedup(docs_of(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got(out) == B.substring(rows)
+    words = [(i, " ".join(t)) for i, t in rows]
+    out = fm_dedup.fm_dedup(docs_of(spark, words)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got(out) == B.word_windows(words)
+
+
 def test_op2_query(spark, sf, docs_rows):
     assert got(registry.QUERIES["op2_suffix_dedup"](spark, sf)) == B.substring(docs_rows)
 
