@@ -86,11 +86,15 @@ def apply_preset(config: Config) -> Config:
 
 
 def spark_settings(input_bytes: int, cores: int) -> dict[str, str]:
-    """Shuffle partitions of about 128 MB, at least two a core; scans of 128 MB."""
+    """Shuffle partitions of about 128 MB, at least two a core; scans of 128 MB.
+
+    Joins sort and spill, but hash where the partitions, as measured when they are there, are all small.
+    """
     parts = max(2 * cores, -(-input_bytes // (128 << 20)))
     return {
         "spark.sql.shuffle.partitions": str(parts), "spark.sql.files.maxPartitionBytes": "128m",
         "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     }
 
 

@@ -9,9 +9,12 @@ STAMP = 1704067200
 
 
 def _little_endian(n: Column) -> Column:
-    """Sixteen hex digits of a long, lowest byte first."""
-    h = F.lower(F.lpad(F.hex(n), 16, "0"))
-    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    """Sixteen hex digits of a long, lowest byte first: the bytes are swapped as numbers, then written once."""
+    swapped = F.lit(0).cast("long")
+    for i in range(8):
+        byte = F.shiftrightunsigned(n, 8 * i).bitwiseAND(F.lit(0xFF).cast("long"))
+        swapped = swapped.bitwiseOR(F.shiftleft(byte, 56 - 8 * i))
+    return F.lower(F.lpad(F.hex(swapped), 16, "0"))
 
 
 def _row(i: Column, prefixes: int) -> list[Column]:
