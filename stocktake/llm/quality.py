@@ -97,7 +97,7 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(-np.clip(gap, -500, 500)))
 
 
-def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.1, ridge: float = 1e-3, scale: float = 1.0) -> Discriminant:
+def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.02, ridge: float = 1e-3, scale: float = 1.0) -> Discriminant:
     """Fit on ``rows(x, y)``: sums over all rows are made on the executors, ``1 + d + d*d`` numbers a class return."""
     one = F.array(F.lit(1.0))
     ext = rows.where("y in (0, 1) and x is not null").select("y", F.concat(one, "x").alias("x"))
