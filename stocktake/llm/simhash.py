@@ -37,8 +37,10 @@ BITS = 64
 SAMPLE = 2048
 #: Microseconds, about, to deal out a probe and to verify a candidate in each of its fingerprints.
 PROBE_COST, PAIR_COST = 2.0, 0.01
-#: Buckets up to this size compare all pairs at once; larger ones are searched from member to member.
+#: Buckets up to this size compare all pairs at once; larger ones go in blocks of rows.
 SMALL = 48
+#: Rows of a large bucket that are compared with all of it at once.
+BLOCK = 256
 
 
 def shingle_hashes(text: str, words: int, seeds: tuple[int, ...]) -> np.ndarray:
@@ -146,44 +148,73 @@ def flips(mask: int, radius: int) -> np.ndarray:
     return np.array([sum(c) for r in range(radius + 1) for c in combinations(bits, r)], np.uint64)
 
 
-def _near(f: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, overall: int) -> np.ndarray:
-    x = np.bitwise_count(f[a] ^ f[b])
-    return (x[:, 0] <= distance) & (x.sum(axis=1, dtype=np.int64) <= overall)
+def _verified(f: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are near: the first fingerprints are compared first, all of them for what is left."""
+    near = np.flatnonzero(np.bitwise_count(f[a, 0] ^ f[b, 0]) <= distance)
+    a, b = a[near], b[near]
+    if f.shape[1] > 1 and len(a):
+        near = np.bitwise_count(f[a] ^ f[b]).sum(axis=1, dtype=np.int64) <= overall
+        a, b = a[near], b[near]
+    return a, b
+
+
+def _large_bucket(f: np.ndarray, distance: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the rows of ``f``: all of them when they are few, else a spanning set."""
+    n, left, right = len(f), [], []
+    first = np.ascontiguousarray(f[:, 0])
+    degree = np.zeros(n, np.int64)
+    total = 0
+    for lo in range(0, n, BLOCK):
+        near = np.bitwise_count(first[lo : lo + BLOCK, None] ^ first[None, :]) <= distance
+        near[np.arange(near.shape[0]), lo + np.arange(near.shape[0])] = False
+        degree[lo : lo + BLOCK] = near.sum(axis=1)
+        total += int(degree[lo : lo + BLOCK].sum())
+        if total <= 16 * n:
+            i, j = np.nonzero(near)
+            a, b = _verified(f, i + lo, j, distance, overall)
+            left.append(a[a < b])
+            right.append(b[a < b])
+    if total > 16 * n:  # a dense bucket is searched from member to member
+        left, right = [], []
+        rest = np.flatnonzero(degree)
+        queue: list[int] = []
+        while len(rest):
+            if not queue:
+                queue, rest = [int(rest[0])], rest[1:]
+            a = queue.pop()
+            _, got = _verified(f, np.full(len(rest), a), rest, distance, overall)
+            if len(got):
+                left.append(np.full(len(got), a))
+                right.append(got)
+                queue += got.tolist()
+                rest = rest[~np.isin(rest, got, assume_unique=True)]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
 def bucket_links(group: np.ndarray, node: np.ndarray, f: np.ndarray, distance: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets (runs of equal ``group``): all of small buckets, a spanning set of large ones."""
+    """Links within buckets (runs of equal ``group``): all of small and sparse buckets, a spanning set of dense ones."""
     cuts = np.flatnonzero(np.diff(group)) + 1
     first = np.concatenate([[0], cuts]).astype(np.int64)
     size = np.diff(np.append(first, len(group)))
     left, right = [], []
-    small = np.repeat(size <= SMALL, size)
-    at = np.flatnonzero(small)
+    at = np.flatnonzero(np.repeat(size <= SMALL, size))
     end = np.repeat(first + size, size)[at]
     step = 1
     while True:
         at, end = at[at + step < end], end[at + step < end]
         if not len(at):
             break
-        fits = _near(f, at, at + step, distance, overall)
-        left.append(node[at[fits]])
-        right.append(node[at[fits] + step])
+        a, b = _verified(f, at, at + step, distance, overall)
+        left.append(node[a])
+        right.append(node[b])
         step += 1
     for k in np.flatnonzero(size > SMALL).tolist():
-        rest = np.unique(np.column_stack([node[first[k] : first[k] + size[k]], np.arange(first[k], first[k] + size[k])]), axis=0)
-        rest = rest[np.append(True, np.diff(rest[:, 0]) != 0), 1]  # a fingerprint may be here by several flips
-        queue: list[int] = []
-        while len(rest):
-            if not queue:
-                queue, rest = [int(rest[0])], rest[1:]
-            a = queue.pop()
-            fits = _near(f, np.full(len(rest), a), rest, distance, overall)
-            if fits.any():
-                got = rest[fits]
-                left.append(np.full(len(got), node[a]))
-                right.append(node[got])
-                queue += got.tolist()
-                rest = rest[~fits]
+        # a fingerprint may be here by several flips
+        own, once = np.unique(node[first[k] : first[k] + size[k]], return_index=True)
+        a, b = _large_bucket(f[first[k] + once], distance, overall)
+        left.append(own[a])
+        right.append(own[b])
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
