@@ -8,11 +8,12 @@ import time
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stocktake.functions.predicate import bindings, compile_filter, keep_column
-from stocktake.operators.diff import dedupe_latest, diff
+from stocktake.operators.diff import Diff, dedupe_latest, diff
 from stocktake.operators.listing import gate, output, remaining, scope, with_segment
 from stocktake.operators.summary import prefix_stats, saturating_sum, top_prefixes
 from stocktake.plans import manifest
@@ -87,15 +88,17 @@ def run_list(listing: DataFrame, out: str, prefix: str = "", start_after: str =
         sinks.write_parquet(output(gated), target, compression, mode=mode)
     else:
         (sinks.write_tsv if output_format == "tsv" else sinks.write_ndjson)(gated, target, mode)
-    stats = prefix_stats(gate(rows, filter))
+    # one aggregation feeds the prefix counts, their number and the top
+    stats = prefix_stats(gate(rows, filter)).persist(StorageLevel.MEMORY_AND_DISK)
     if not summary_only:
-        sinks.write_prefix_counts(gate(rows, filter), f"{out}/prefixes", mode)
+        sinks.write_prefix_counts(stats, f"{out}/prefixes", mode)
     metrics = {k: int(v) for k, v in seen.get.items()}
     metrics |= {"unique_prefixes": stats.count(), "parquet_rows": metrics["streamed_rows"] if output_format == "parquet" and not summary_only else 0, "fatal_errors": 0, "output_errors": 0}
+    top = [(r["Prefix"], r["objects"], int(r["bytes"])) for r in top_prefixes(stats).collect()]
+    stats.unpersist()
     if journal:
         journal.complete(*range(journal.total_segments))
         journal.save(resume)
-    top = [(r["Prefix"], r["objects"], int(r["bytes"])) for r in top_prefixes(stats).collect()]
     return Run(metrics, top, elapsed=time.time() - began)
 
 
@@ -104,12 +107,16 @@ def run_diff(left: DataFrame, right: DataFrame, out: str, filter: str | None = N
     began = time.time()
     if seq:
         left, right = dedupe_latest(left, seq), dedupe_latest(right, seq)
-    found = diff(left, right, filter)
+    # the join runs once: rows, counts and prefixes all come from what it has left on the executors' disks
+    merged = diff(left, right, filter).merged.persist(StorageLevel.DISK_ONLY)
+    found = Diff(merged)
     sinks.write_parquet(found.rows, f"{out}/rows", compression)
-    sinks.write_prefix_counts(found.merged, f"{out}/prefixes")
+    stats = found.prefix_stats().persist(StorageLevel.MEMORY_AND_DISK)
+    sinks.write_prefix_counts(stats, f"{out}/prefixes")
     counts = found.counts().first().asDict()
-    stats = found.prefix_stats()
     top = [(r["Prefix"], r["objects"], int(r["bytes"])) for r in top_prefixes(stats).collect()]
+    stats.unpersist()
+    merged.unpersist()
     return Run(counts | {"fatal_errors": 0, "output_errors": 0}, top, elapsed=time.time() - began)
 
 

@@ -28,9 +28,13 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd", level: in
     w.parquet(path)
 
 
-def write_prefix_counts(listing: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One sorted file of ``"prefix","count"`` lines; counts are summed first, so that file holds a row a prefix."""
-    rows = prefix_counts(listing).orderBy("Prefix").select("Prefix", F.col("count").cast("string").alias("count"))
+def write_prefix_counts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One sorted file of ``"prefix","count"`` lines, of an inventory or of its prefix sums.
+
+    Counts are summed before, so that file holds a row a prefix; the sort is by ranges, and only the writing is of one task.
+    """
+    counts = df.select("Prefix", F.col("objects").alias("count")) if "objects" in df.columns else prefix_counts(df)
+    rows = counts.orderBy("Prefix").select("Prefix", F.col("count").cast("string").alias("count"))
     rows.coalesce(1).write.mode(mode).option("quoteAll", True).option("escape", '"').option("header", False).csv(path)
 
 
