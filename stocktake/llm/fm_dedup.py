@@ -89,6 +89,8 @@ class FmIndex:
 
 def repeated_windows(contents: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Segments and offsets of windows of ``length`` words that occur at a smaller place too."""
+    if not contents:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # rare words get small numbers, equally rare ones in no order of the text: the sorter's batches end where a successor comes soon after
     split = [c.split(b" ") for c in contents]
     sizes = [len(w) for w in split]

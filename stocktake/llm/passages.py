@@ -26,6 +26,8 @@ from stocktake.llm.repeats import twice_seen
 
 #: Bytes of segments in a shard, about.
 SHARD_BYTES = 2 << 20
+#: Anchors of one segment are only left out in the shard; there are about as many bytes of them again, twice.
+LONE = 3
 #: How often anchors with more than that are split.
 LEVELS = 3
 #: Digests of segments that a task has sent; it starts afresh beyond, which costs a second sending.
@@ -191,29 +193,27 @@ def _resolve(segments_: DataFrame, view: ByteView | WordView, find: Callable, le
     """Spans of later copies of equal segments, and of windows that different segments of an anchor share."""
     found = stash(segments_, "segments")
     place = F.struct("did", "rid", "start")
-    # one row for equal segments (equal anchor and digest: 128 bits), with the earliest place; summed within tasks first
-    distinct = stash(found.groupBy("anchor", "dig").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
+    # one row for equal segments (equal anchor and digest: 128 bits), with the earliest place; reduced within tasks first
+    distinct = stash(found.groupBy("anchor", "dig").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("content", ignorenulls=True).alias("content")), "distinct")
     copied = distinct.where("n > 1").select("anchor", "dig", "first")
-    spans = found.select("did", "rid", "start", "end", "anchor", "dig").join(copied, ["anchor", "dig"]).where(place != F.col("first")).select("did", "rid", "start", "end")
-    # anchors of several different segments
-    shared = stash(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "shared")
-    hint = maybe_broadcast(shared, shared.count(), 24)
-    contents = found.where("content is not null").select("anchor", "dig", "content").join(hint, "anchor", "left_semi")
-    contents = contents.groupBy("anchor", "dig").agg(F.first("content").alias("content"))
-    ready = stash(contents.join(distinct.select("anchor", "dig", "first"), ["anchor", "dig"]).select("anchor", "content", "first.*"), "ready")
+    spans = found.select("did", "rid", "start", "end", "anchor", "dig").join(copied.hint("merge"), ["anchor", "dig"]).where(place != F.col("first")).select("did", "rid", "start", "end")
+    ready = distinct.select("anchor", "content", "first.*")
     if level < LEVELS:
         # an anchor with more than a shard of different segments is split by further anchors, so that it fits many tasks
-        hot = stash(ready.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("size")).where(F.col("size") > SHARD_BYTES).select("anchor"), "hot")
+        hot = stash(distinct.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("size")).where(F.col("size") > SHARD_BYTES).select("anchor"), "hot")
         if n := hot.count():
             hint = maybe_broadcast(hot, n, 24)
             finer = type(view)(view.length, max(1, view.gram * 3 // 4), level + 1)
             spans = spans.union(_resolve(_split(ready.join(hint, "anchor", "left_semi"), finer), finer, find, level + 1))
             ready = ready.join(hint, "anchor", "left_anti")
     size = ready.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    shards = max(1, math.ceil(size / SHARD_BYTES))
+    shards = max(1, math.ceil(size / (LONE * SHARD_BYTES)))
     length = view.length
 
     def shard(t: pa.Table) -> pa.Table:
+        # anchors of one segment share nothing with others
+        _, at, k = np.unique(t["anchor"].to_numpy(), return_inverse=True, return_counts=True)
+        t = t.filter(pa.array(k[at] > 1))
         did, rid, start = (t[c].to_numpy() for c in ("did", "rid", "start"))
         order = np.lexsort((rid, did))
         new = np.concatenate([[False], (np.diff(did[order]) != 0) | (np.diff(rid[order]) != 0)])
@@ -228,7 +228,7 @@ def _resolve(segments_: DataFrame, view: ByteView | WordView, find: Callable, le
         w = which[a]
         return pa.table({"did": pa.array(did[w]), "rid": pa.array(rid[w]), "start": pa.array(start[w] + offset[a]), "end": pa.array(start[w] + offset[b] + length)})
 
-    dealt = ready.select("did", "rid", "start", "content", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    dealt = ready.select("did", "rid", "start", "anchor", "content", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     return spans.union(dealt.groupBy("shard").applyInArrow(shard, SPAN))
 
 

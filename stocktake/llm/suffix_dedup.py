@@ -31,6 +31,8 @@ GRAM = 40
 
 def repeated_windows(contents: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Segments and offsets of windows of ``length`` bytes that occur at a smaller place too."""
+    if not contents:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.array([len(c) for c in contents], np.int64)
     n = int(sizes.sum()) + len(contents)
     t = np.zeros(n + 1, np.int32)
