@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: A side is broadcast only when its measured size is below this many bytes.
 BROADCAST_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Stands in for a null id in internal keys; sorts before every real id.
 NULL_ID = -(2**63)
 
@@ -50,7 +51,12 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what the write has shuffled goes when it has ended
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

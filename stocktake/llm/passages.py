@@ -1,8 +1,8 @@
 """Windows that occur earlier in a corpus, over bytes or words: screening, sharding, and cutting out.
 
-Segments with an anchor that may occur twice (``repeats.TwiceSeen``) are written
-once; equal segments become one row with the place of the earliest; later copies
-are covered whole. Distinct segments that share an anchor meet in a shard of
+Segments with an anchor that may occur twice (``repeats.TwiceSeen``) are written,
+the content of equal ones once a task; the earliest of equal segments stays for
+the index, later copies are covered whole. Distinct segments that share an anchor meet in a shard of
 bounded size, where an index finds the windows that they share; the index is the
 caller's (``find``): a suffix array, or an FM-index. Only segments reach a shard,
 so its size follows repeated text, not the corpus; an anchor that has more than a
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocktake.llm.anchors import CHUNK, mix, pieces, segments
-from stocktake.llm.common import doc_keys, maybe_broadcast, stash
+from stocktake.llm.common import doc_keys, drop_stash, maybe_broadcast, stash
 from stocktake.llm.repeats import twice_seen
 
 #: Bytes of segments in a shard, about.
@@ -169,7 +169,7 @@ def covered_spans(docs: DataFrame, view: ByteView | WordView, find: Callable[[li
                 rows = pa.array(doc[at])
                 yield pa.RecordBatch.from_arrays([b["did"].take(rows), b["rid"].take(rows), pa.array(start[at]), pa.array(end[at]), pa.array(anchor[at].view(np.int64)), pa.array(np.array(digs, np.uint64).view(np.int64)), pa.array(contents, pa.binary())], ["did", "rid", "start", "end", "anchor", "dig", "content"])
 
-    return _resolve(keyed.mapInArrow(suspect, SEGMENT), view, find, 0)
+    return _resolve(keyed.sortWithinPartitions("did", "rid").mapInArrow(suspect, SEGMENT), view, find, 0)
 
 
 def _split(rows: DataFrame, view: ByteView | WordView) -> DataFrame:
@@ -194,13 +194,17 @@ def _resolve(segments_: DataFrame, view: ByteView | WordView, find: Callable, le
     found = stash(segments_, "segments")
     place = F.struct("did", "rid", "start")
     # one row for equal segments (equal anchor and digest: 128 bits), with the earliest place; reduced within tasks first
-    distinct = stash(found.groupBy("anchor", "dig").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("content", ignorenulls=True).alias("content")), "distinct")
-    copied = distinct.where("n > 1").select("anchor", "dig", "first")
-    spans = found.select("did", "rid", "start", "end", "anchor", "dig").join(copied.hint("merge"), ["anchor", "dig"]).where(place != F.col("first")).select("did", "rid", "start", "end")
-    ready = distinct.select("anchor", "content", "first.*")
+    copied = found.groupBy("anchor", "dig").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "dig", "first")
+    copied = stash(copied, "copied")
+    copies = found.select("did", "rid", "start", "end", "anchor", "dig").join(copied.hint("merge"), ["anchor", "dig"]).where(place != F.col("first"))
+    spans = stash(copies.select("did", "rid", "start", "end"), "copies")
+    drop_stash(copied)
+    # the earliest of equal segments in a task has the content, so the earliest of all is among these
+    ready = found.where("content is not null").select("did", "rid", "start", "anchor", "dig", "content")
     if level < LEVELS:
-        # an anchor with more than a shard of different segments is split by further anchors, so that it fits many tasks
-        hot = stash(distinct.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("size")).where(F.col("size") > SHARD_BYTES).select("anchor"), "hot")
+        # an anchor with more than a shard of segments is split by further anchors, so that it fits many tasks
+        sizes = found.where("content is not null").groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("size"))
+        hot = stash(sizes.where(F.col("size") > SHARD_BYTES).select("anchor"), "hot")
         if n := hot.count():
             hint = maybe_broadcast(hot, n, 24)
             finer = type(view)(view.length, max(1, view.gram * 3 // 4), level + 1)
@@ -211,9 +215,13 @@ def _resolve(segments_: DataFrame, view: ByteView | WordView, find: Callable, le
     length = view.length
 
     def shard(t: pa.Table) -> pa.Table:
-        # anchors of one segment share nothing with others
-        _, at, k = np.unique(t["anchor"].to_numpy(), return_inverse=True, return_counts=True)
-        t = t.filter(pa.array(k[at] > 1))
+        # the earliest of equal segments stays; anchors of one segment share nothing with others
+        by = [t[c].to_numpy() for c in ("start", "rid", "did", "dig", "anchor")]
+        order = np.lexsort(by)
+        anchor, dig = by[4][order], by[3][order]
+        order = order[np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(dig) != 0)])] if len(order) else order
+        _, at, k = np.unique(by[4][order], return_inverse=True, return_counts=True)
+        t = t.take(pa.array(order[k[at] > 1]))
         did, rid, start = (t[c].to_numpy() for c in ("did", "rid", "start"))
         order = np.lexsort((rid, did))
         new = np.concatenate([[False], (np.diff(did[order]) != 0) | (np.diff(rid[order]) != 0)])
@@ -228,8 +236,10 @@ def _resolve(segments_: DataFrame, view: ByteView | WordView, find: Callable, le
         w = which[a]
         return pa.table({"did": pa.array(did[w]), "rid": pa.array(rid[w]), "start": pa.array(start[w] + offset[a]), "end": pa.array(start[w] + offset[b] + length)})
 
-    dealt = ready.select("did", "rid", "start", "anchor", "content", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    return spans.union(dealt.groupBy("shard").applyInArrow(shard, SPAN))
+    dealt = ready.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    windows = stash(dealt.groupBy("shard").applyInArrow(shard, SPAN), "windows")
+    drop_stash(found)
+    return spans.union(windows)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, carry: bool = False) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocktake.llm.common import stash
+
 #: Bits in one range of the filter, and its logarithm.
 RANGE_LOG = 19
 RANGE_BITS = 1 << RANGE_LOG
@@ -111,7 +113,7 @@ def twice_seen(docs: DataFrame, hashes: Callable[[list], Iterator[np.ndarray]],
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
 
     dealt = docs.select("text").mapInArrow(gather, "part int, once binary, again binary").repartition("part")
-    found = dealt.mapInArrow(merge, "part int, bits binary").collect()
+    found = stash(dealt.mapInArrow(merge, "part int, bits binary"), "filter").collect()
     return TwiceSeen(log_ranges, {r["part"]: bytes(r["bits"]) for r in found})
 
 
