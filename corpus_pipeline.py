@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocktake.llm.common import doc_keys, new_texts, stash, table
+from stocktake.llm.jaccard import jaccard_components
 from stocktake.llm.line_dedup import line_dedup
 from stocktake.llm.packing import pack
 from stocktake.llm.quality import accepted
-from stocktake.llm.simhash import simhash_components
 from stocktake.llm.suffix_dedup import suffix_dedup
 
-#: Near duplicates: five-word shingles, four 64-bit fingerprints; 44 of 256 bits is a Jaccard similarity of 0.75 to 0.8.
+#: Near duplicates: five-word shingles, linked at a Jaccard similarity of 0.8 (``jaccard.LEAST``).
 SHINGLE = 5
+#: The estimate by fingerprints that links were made by before; only a test compares with it.
 SEEDS = (42, 43, 44, 45)
 DISTANCE = 13
 OVERALL = 44
@@ -43,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest id stays (of rows that share it, the smallest hash of the text)."""
-    rows = simhash_components(docs, SHINGLE, DISTANCE, SEEDS, OVERALL)
+    rows = jaccard_components(docs, SHINGLE)
     one = stash(rows.groupBy("component").agg(F.min(F.struct("did", "rid")).alias("keep")).select("keep.*"), "kept")
     again = one.join(rows.groupBy("did", "rid").agg(F.count("*").alias("n")).where("n > 1"), ["did", "rid"], "left_semi")
     kept = doc_keys(docs, carry=True).join(one.hint("merge"), ["did", "rid"], "left_semi")
