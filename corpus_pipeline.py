@@ -6,7 +6,9 @@ row a document. SQL can't express the stages, so there is none; tests hold the
 pipeline against brute force.
 
 Defined results: rows with null or empty texts go through every stage like
-others (all empty texts are near duplicates of each other, so one stays); a row
+others (all empty texts are near duplicates of each other, so one stays); near
+duplicates are linked by their texts alone, so rows that share an id, or have
+none, stay when their texts differ; a row
 whose text is removed entirely by a later stage stays with an empty text; an
 empty table gives an empty result; further columns are kept by all stages but
 the last, whatever their names.

@@ -65,3 +65,12 @@ def test_similar_is_exact():
     a = np.arange(9, dtype=np.uint64)
     assert jaccard.similar(a[:8], np.append(a[:8], [20, 21]).astype(np.uint64))
     assert not jaccard.similar(a[:8], np.append(a[:8], [20, 21, 22]).astype(np.uint64))
+
+
+def test_rows_are_linked_by_texts_alone(spark, sf):
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.random()}" for _ in range(80)) for _ in range(40)]
+    rows = [(None, t) for t in texts[:15]] + [(7, t) for t in texts[15:30]] + [(100 + i, t) for i, t in enumerate(texts[30:])]
+    rows += [(200, texts[0]), (201, texts[20]), (None, texts[35])]
+    got = near(spark, sf, rows)
+    assert sorted(got, key=str) == sorted([(None, t) for t in texts[:15]] + [(7, t) for t in texts[15:30]] + [(None, texts[35])] + [(100 + i, t) for i, t in enumerate(texts[30:]) if i != 5], key=str)
