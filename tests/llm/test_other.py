@@ -118,6 +118,16 @@ def test_packing_odd(odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_with_a_very_long_text(spark):
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 400) for _ in range(60)] + [200_001]
+    docs = spark.createDataFrame([(i, "a " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(docs, buckets=3).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == dict(enumerate(lengths))
+    assert sum(r["padding"] for r in rows) == B.best_padding(lengths, 3)
+    assert {r["bucket_len"] for r in rows} <= set(lengths)
+
+
 # --- op6 ---
 
 
