@@ -210,11 +210,13 @@ def bucket_links(group: np.ndarray, node: np.ndarray, f: np.ndarray, distance: i
         right.append(node[b])
         step += 1
     for k in np.flatnonzero(size > SMALL).tolist():
-        # a fingerprint may be here by several flips
-        own, once = np.unique(node[first[k] : first[k] + size[k]], return_index=True)
-        a, b = _large_bucket(f[first[k] + once], distance, overall)
-        left.append(own[a])
-        right.append(own[b])
+        # a fingerprint may be here by several flips; a node with other fingerprints is another row
+        own = first[k] + np.lexsort((*f[first[k] : first[k] + size[k]].T, node[first[k] : first[k] + size[k]]))
+        new = np.any(f[own[1:]] != f[own[:-1]], axis=1) | (node[own[1:]] != node[own[:-1]])
+        own = own[np.append(True, new)]
+        a, b = _large_bucket(f[own], distance, overall)
+        left.append(node[own[a]])
+        right.append(node[own[b]])
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 

@@ -189,6 +189,16 @@ def test_large_buckets_keep_their_components():
     assert len({links.find(i) for i in range(300)}) == 1 and len(u) < 300
 
 
+@pytest.mark.parametrize("n", (40, 60))
+def test_bucket_with_a_repeated_node(n):
+    # node 0 has two fingerprints that are far apart; node 1 is near the second only, the others near none
+    f = np.random.default_rng(9).integers(0, 2**63, (n, 1), np.uint64)
+    node = np.array([0, 0, *range(1, n - 1)])
+    f[2] = f[1] ^ np.uint64(1)
+    u, v = simhash.bucket_links(np.zeros(n, int), node, f, 2, 64)
+    assert {frozenset(p) for p in zip(u.tolist(), v.tolist()) if p[0] != p[1]} == {frozenset((0, 1))}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)] + [(200, 201 + i) for i in range(50)]
     out = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
