@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: A side is broadcast only when its measured size is below this many bytes.
 BROADCAST_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Stands in for a null id in internal keys; sorts before every real id.
+#: Stands in for a null id in internal keys; no real id sorts before it. The last bit of a row's hash tells it from a real one.
 NULL_ID = -(2**63)
 
 
@@ -82,12 +82,18 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROAD
 def doc_keys(docs: DataFrame, carry: bool = False) -> DataFrame:
     """``(did, rid, text)``: id with nulls replaced, a hash that tells rows of one id apart, text without nulls.
 
-    ``carry`` adds ``row``, a struct of all columns but the text, under which no name can clash.
+    The hash is odd where there is no id. ``carry`` adds ``row``, a struct of all columns but the text, under which no name can clash.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []
-    return docs.select(did.alias("did"), text.alias("text"), *row).select("did", F.xxhash64("did", "text").alias("rid"), "text", *["row"] * carry)
+    gone = F.col("doc_id").cast("long").isNull().cast("long").alias("gone")
+    rid = F.shiftleft(F.xxhash64("did", "text"), 1).bitwiseOR(F.col("gone")).alias("rid")
+    return docs.select(did.alias("did"), gone, text.alias("text"), *row).select("did", rid, "text", *["row"] * carry)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def with_row(schema: str, keyed: DataFrame) -> T.StructType:
@@ -109,5 +115,6 @@ def new_texts(docs: DataFrame, out: DataFrame) -> DataFrame:
     return out.select(*cols)
 
 
-def public_id(col: str = "did") -> Column:
-    return F.when(F.col(col) == NULL_ID, F.lit(None).cast("long")).otherwise(F.col(col))
+def public_id() -> Column:
+    """The id of a row ``(did, rid)``, null again where there was none."""
+    return F.when(F.col("rid").bitwiseAND(F.lit(1)) == 0, F.col("did"))

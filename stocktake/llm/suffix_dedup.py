@@ -2,7 +2,9 @@
 
 Repeated text is found over whole documents as bytes; a suffix array with
 common-prefix values, built by external induced sorting (``suffix``), groups the
-windows of a shard, and all but the earliest of a group are removed.
+windows of a shard, and all but the earliest of a group are removed. The text of a
+shard, the sorter's arrays and the least places of the groups go to files beyond
+``suffix.MEMORY``; what is held besides is a few numbers a segment.
 
 Defined results: null texts are empty; texts shorter than the window lose
 nothing; rows that repeat an id with another text are documents of their own
@@ -20,48 +22,73 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktake.llm.common import public_id, table, with_row
+from stocktake.llm.common import public_id, table, text_bytes, with_row
 from stocktake.llm.passages import ByteView, covered_spans, merged, with_spans
-from stocktake.llm.repeats import text_size
-from stocktake.llm.suffix import induced_sort
+from stocktake.llm.suffix import MEMORY, blocks, induced_sort, scratch
 
 LENGTH = 100
 GRAM = 40
 
 
-def repeated_windows(contents: list[bytes], places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segments and offsets of windows of ``length`` bytes that occur at a smaller place too."""
-    if not contents:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sizes = np.array([len(c) for c in contents], np.int64)
-    n = int(sizes.sum()) + len(contents)
-    t = np.zeros(n + 1, np.int32)
-    t[:n] = np.frombuffer(b"\0".join([*contents, b""]), np.uint8)
-    t[:n] += 2
-    starts = np.cumsum(np.append(0, sizes + 1))[:-1]
+def repeated_windows(raw: np.ndarray, sizes: np.ndarray, places: np.ndarray, length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """Segments and offsets of windows of ``length`` bytes that occur at a smaller place too.
+
+    ``raw``: the bytes of all segments one after the other, of ``sizes``; ``places`` of their first bytes.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(sizes):
+        return none
+    ends = np.cumsum(sizes)
+    starts = ends - sizes + np.arange(len(sizes))  # in the text, with a symbol between segments
+    n = int(ends[-1]) + len(sizes)
+    t = scratch(n + 1, np.int16, memory)
+    for a, b in blocks(len(raw), memory):
+        at = np.arange(a, b)
+        t[at + np.searchsorted(ends, at, "right")] = raw[a:b].astype(np.int16) + 2
     t[starts + sizes] = 1
-    owner = np.repeat(np.arange(len(contents)), sizes + 1)
-    sa, lcp = induced_sort(t, 258, length)
-    group = np.cumsum(lcp < length)  # windows with the same first ``length`` bytes are neighbours
-    sa, group = sa[1:], group[1:]
-    which = owner[sa]
-    offset = sa - starts[which]
-    whole = offset + length <= sizes[which]
-    which, offset, group = which[whole], offset[whole], group[whole]
-    if not len(which):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = places[which] + offset
-    first = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
-    least = np.repeat(np.minimum.reduceat(at, first), np.diff(np.append(first, len(at))))
-    later = at > least
-    return which[later], offset[later]
+    owner = scratch(n + 1, np.int32, memory)
+    for a in range(0, len(sizes), 10_000):
+        own = np.repeat(np.arange(a, min(a + 10_000, len(sizes))), sizes[a : a + 10_000] + 1)
+        owner[starts[a] : starts[a] + len(own)] = own
+    sa, lcp = induced_sort(t, 258, length, memory)
+    del t
+
+    def windows(a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Of the ranks from ``a`` to ``b``: which are whole windows, their segments, offsets and groups."""
+        own = np.asarray(sa[a:b])
+        which = owner[own]
+        offset = own - starts[which]
+        group = np.cumsum(lcp[a:b] < length)  # windows with the same first ``length`` bytes are neighbours
+        fine = offset + length <= sizes[which]
+        return which[fine], offset[fine], group[fine] + groups, int(group[-1])
+
+    groups = 0
+    least = scratch(n + 2, np.int64, memory)
+    for a, b in blocks(n + 1, memory):
+        least[a:b] = np.iinfo(np.int64).max
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for mark in (True, False):
+        groups = 0
+        for a, b in blocks(n + 1, memory, 1):  # rank 0 is the end of the text
+            which, offset, group, more = windows(a, b)
+            at = places[which] + offset
+            if mark and len(at):
+                first = np.flatnonzero(np.diff(group, prepend=-1))
+                low = np.minimum.reduceat(at, first)
+                own = group[first]
+                least[own] = np.minimum(least[own], low)
+            elif not mark:
+                later = at > least[group]
+                found.append((which[later], offset[later]))
+            groups += more
+    return tuple(np.concatenate([none[0], *x]) for x in zip(*found)) if found else none
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
     """``(did, rid, text, spans)``."""
     gram = max(4, min(GRAM, length // 2))
-    _, size, _ = text_size(docs)
-    spans = covered_spans(docs, ByteView(length, gram), lambda c, p: repeated_windows(c, p, length), 2 * size // (length - gram + 2))
+    size = text_bytes(docs)
+    spans = covered_spans(docs, ByteView(length, gram), lambda raw, sizes, places: repeated_windows(raw, sizes, places, length), 2 * size // (length - gram + 2))
     return with_spans(docs, spans, carry)
 
 

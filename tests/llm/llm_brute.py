@@ -32,6 +32,18 @@ def covered(sequences, length):
     return out
 
 
+def covered_windows(sequences, length):
+    """``(sequence, offset)`` of the windows that start earlier too."""
+    seen, out = set(), []
+    for i, s in enumerate(sequences):
+        for j in range(len(s) - length + 1):
+            k = s[j : j + length] if isinstance(s, bytes) else tuple(s[j : j + length])
+            if k in seen:
+                out.append((i, j))
+            seen.add(k)
+    return out
+
+
 def substring(rows, length=100):
     rows = sorted(rows)
     texts = [raw(t) for _, t in rows]
