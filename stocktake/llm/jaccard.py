@@ -1,15 +1,19 @@
-"""Near duplicates by the exact Jaccard similarity of shingle sets.
-
-Equal sets are one node, whatever the ids of their rows. Candidates come from
-MinHash: ``BANDS`` keys of ``ROWS`` minima each, so that a pair at the least
-similarity of 0.8 shares a key with probability 1 - (1 - 0.8 ** 4) ** 24, all but
-3 in a million, and more above it. A candidate becomes a link only when its whole
-sets (of 64-bit hashes) have that similarity.
-
-Buckets of up to ``SMALL`` nodes give all their pairs. Larger ones first give the
-pairs with their smallest node; components of the links among these are found, and
-then all pairs of the large buckets that are still in different components are
-compared, so no link that could join two components is left out.
+"""Near duplicates by SimHash, verified by the exact Jaccard similarity of shingle sets.
+
+Equal sets are one node, whatever the ids of their rows. Fingerprints are of sets;
+a bit differs between sets at the least similarity with probability ``APART``, so a
+plan of parts is made that misses such a pair with probability ``MISS`` (``simhash``),
+and fewer of those that are more alike. The fingerprints have as many words as that
+takes for the number of nodes. Probes carry the first two words: candidates must be
+within ``GATE`` of their bits (4.5 deviations above the mean at the least similarity).
+A candidate becomes a link only when its whole sets (of 64-bit hashes) have the least
+similarity.
+
+Large buckets that still hold several components after their first links are joined
+to groups by the nodes that they share. A group's nodes outside its largest component
+are compared in blocks, with each other and with the blocks of that component: whole
+sets meet there, the most alike first, and a pair is verified only while it would join
+two components. So no pairs of a group are written, but for links.
 
 Defined results: null and empty texts have one (empty) set; a text shorter than a
 shingle is one shingle.
@@ -17,6 +21,7 @@ shingle is one shingle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,31 +32,33 @@ from pyspark.sql import functions as F
 
 from stocktake.llm.common import doc_keys, drop_stash, maybe_broadcast, stash
 from stocktake.llm.components import connected_components
-from stocktake.llm.simhash import shingle_hashes
+from stocktake.llm.simhash import WORD, Alike, fingerprint, make_plan, posted_links, probes, sampled, shingle_hashes
 
 #: Linked from this similarity on, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 24, 4
-#: Buckets up to this size compare all pairs at once.
-SMALL = 8
-#: Candidates that leave a task in one batch, about.
-CHUNK = 1 << 18
+#: How often a bit differs at that similarity: sets of equal size have a cosine of 2 J / (1 + J), others a greater one.
+APART = math.acos(2 * LEAST[0] / (LEAST[0] + LEAST[1])) / math.pi
+#: The share of pairs at the least similarity that the plan may miss.
+MISS = 0.001
+
+
+def gate(words: int) -> int:
+    """Bits in which fingerprints of ``words`` words may differ: 4.5 deviations above the mean at the least similarity."""
+    bits = WORD * words
+    return math.ceil(bits * APART + 4.5 * math.sqrt(bits * APART * (1 - APART)))
+
+
+GATE = gate(2)
+#: Sets in a block.
+BLOCK = 1024
 #: Pairs of sets that reach a Python worker at once.
 BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
-_ODD = np.random.default_rng(7).integers(0, 2**63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed key a band of the MinHash signature of a set that is not empty."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), 4096):
-        x = hashes[None, lo : lo + 4096] * _ODD[0]
-        x ^= x >> np.uint64(32)
-        x *= _ODD[1]
-        least = np.minimum(least, x.min(axis=1))
-    raw = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(raw[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
+def words_for(n: int) -> int:
+    """Words of a fingerprint so that parts of a fitting width reach ``MISS``."""
+    width = max(8, round(math.log2(max(n, 2))) - 6)
+    return math.ceil(width * math.log(MISS) / math.log(1 - (1 - APART) ** width) / WORD) + 1
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -60,140 +67,171 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * LEAST[1] >= LEAST[0] * (len(a) + len(b) - both)
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(did, rid, node, hashes, keys)`` for every row; the last two only where a task first meets the node."""
+def shingle_sets(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """``(did, rid, node, hashes, f)`` for every row; the last two only where a task first meets the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
-                nodes, sets, keys = [], [], []
+                nodes, sets, prints = [], [], []
                 for t in b["text"].to_pylist():
-                    h = np.unique(shingle_hashes(t, words, (42,))[:, 0])
+                    h = np.unique(shingle_hashes(t, words))
                     raw = h.tobytes()
                     node = xxhash.xxh64_intdigest(raw, 1)
                     fresh = node not in seen and len(h) > 0
-                    seen.add(node)
+                    if len(seen) < 1 << 20:
+                        seen.add(node)
                     nodes.append(node)
                     sets.append(raw if fresh else None)
-                    keys.append(band_keys(h) if fresh else None)
+                    prints.append(fingerprint(h, size) if fresh else None)
                 node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b["did"], b["rid"], node, pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["did", "rid", "node", "hashes", "keys"])
-
-    return doc_keys(docs).mapInArrow(run, "did long, rid long, node long, hashes binary, keys array<long>")
-
-
-def _fits(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return LEAST[1] * np.minimum(n[a], n[b]) >= LEAST[0] * np.maximum(n[a], n[b])
-
-
-def _whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[np.ndarray]:
-    """Rows of ``names``, the first of which is the bucket's key, by which they are sorted; no bucket is cut."""
-    held: list[np.ndarray] = []
-    for b in batches:
-        rows = np.column_stack([b[c].to_numpy() for c in names])
-        if not len(rows):
-            continue
-        edge = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-        if len(edge) or (held and held[-1][-1, 0] != rows[0, 0]):
-            cut = int(edge[-1]) + 1 if len(edge) else 0
-            yield np.concatenate([*held, rows[:cut]])
-            held, rows = [], rows[cut:]
-        held.append(rows)
-    if held:
-        yield np.concatenate(held)
-
-
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.append(0, np.flatnonzero(np.diff(key) != 0) + 1)
-    return first, np.diff(np.append(first, len(key)))
-
-
-def first_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs ``(a, b)``; and, with ``key``, the members ``a`` of large buckets and their sizes ``b``."""
-    for rows in _whole_buckets(batches, ("key", "node", "n")):
-        new = np.append(True, np.any(rows[1:, :2] != rows[:-1, :2], axis=1))
-        key, node, n = rows[new].T
-        first, size = _runs(key)
-        span, start = np.repeat(size, size), np.repeat(first, size)
-        a, b = [], []
-        at = np.flatnonzero((span > 1) & (span <= SMALL))
-        for step in range(1, SMALL):
-            at = at[at + step < start[at] + span[at]]
-            a.append(at)
-            b.append(at + step)
-        large = np.flatnonzero(span > SMALL)
-        a.append(start[large])
-        b.append(large)
-        a, b = np.concatenate(a), np.concatenate(b)
-        fine = (a != b) & _fits(n, a, b)
-        pairs = np.unique(np.column_stack([node[a[fine]], node[b[fine]]]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.array(node[large]), pa.array(n[large])], ["key", "a", "b"])
-
-
-def later_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a bucket whose nodes are in different components."""
-    for rows in _whole_buckets(batches, ("key", "component", "node", "n")):
-        first, size = _runs(rows[:, 0])
-        for lo, m in zip(first.tolist(), size.tolist()):
-            _, comp, node, n = rows[lo : lo + m].T
-            if comp[0] == comp[-1]:
-                continue
-            block = max(1, CHUNK // m)
-            for i in range(0, m, block):
-                a, b = np.nonzero(comp[i : i + block, None] < comp[None, :])
-                a += i
-                fine = _fits(n, a, b)
-                u, v = node[a[fine]], node[b[fine]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([b["did"], b["rid"], node, pa.array(sets, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], ["did", "rid", "node", "hashes", "f"])
+
+    return doc_keys(docs).mapInArrow(run, "did long, rid long, node long, hashes binary, f array<long>")
+
+
+def near(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Candidates among rows ``(key, node, n, f0, f1)``: sizes that allow the similarity, and fingerprints within the gate."""
+    n = rows[:, 2]
+    ok = LEAST[1] * np.minimum(n[a], n[b]) >= LEAST[0] * np.maximum(n[a], n[b])
+    at = np.flatnonzero(ok)
+    ok[at] = np.bitwise_count((rows[a[at], 3:5] ^ rows[b[at], 3:5]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= GATE
+    return ok
+
+
+def block_links(rows: dict) -> list[tuple[int, int]]:
+    """Links that join components among the rows of one or two blocks: whole sets, nearest fingerprints first."""
+    comp, own, n = (np.array(rows[c], np.int64) for c in ("component", "own", "n"))
+    f = np.array(rows["f"], np.int64).view(np.uint64)
+    sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    found, most = [], gate(f.shape[1])
+    for lo in range(0, len(n), 256):
+        a, b = np.nonzero((comp[lo : lo + 256, None] < comp[None, :]) & ((own[lo : lo + 256, None] != own[None, :]) | (own[0] == own[-1])))
+        a += lo
+        fine = LEAST[1] * np.minimum(n[a], n[b]) >= LEAST[0] * np.maximum(n[a], n[b])
+        a, b = a[fine], b[fine]
+        far = np.zeros(len(a), np.int64)
+        for k in range(f.shape[1]):
+            far += np.bitwise_count(f[a, k] ^ f[b, k])
+        order = np.argsort(far, kind="stable")[: int((far <= most).sum())]
+        for i, j in zip(a[order].tolist(), b[order].tolist()):
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y and similar(sets[i], sets[j]):
+                parent[max(x, y)] = min(x, y)
+                found.append((rows["node"][i], rows["node"][j]))
+    return found
+
+
+def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(u, v)``: links between components among nodes that share buckets ``large(key, node, component)``."""
+    least = large.groupBy("key").agg(F.min("node").alias("v"))
+    members = stash(large.select("key", "node", "component"), "members")
+    found = connected_components(members.join(least, "key").select(F.col("node").alias("u"), "v"))
+    named = members.select("node", "component").distinct().join(found.withColumnRenamed("component", "group"), "node")
+    named = stash(named, "groups")
+    drop_stash(members)
+    per = named.groupBy("group", "component").agg(F.count("*").alias("m"))
+    most = per.groupBy("group").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    sizes = most.select("group", F.col("top.component").alias("largest"), blocks(F.col("top.m")).alias("inside"), blocks(F.col("all") - F.col("top.m")).alias("outside")).where("outside > 0")
+    whole = named.join(sizes, "group").join(nodes, "node").join(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "node")
+    # blocks of the largest component have numbers below 0; they aren't compared with each other
+    mine = F.col("component") == F.col("largest")
+    own = F.when(mine, -1 - F.pmod(F.xxhash64("node"), F.col("inside"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outside"))).cast("int").alias("own")
+    other = F.sequence(F.when(mine, 0).otherwise(-F.col("inside")), F.col("outside") - 1)
+    dealt = whole.select("group", "node", "component", "n", "f", "hashes", own, F.explode(other).alias("other"))
+    names = ["pair", "node", "component", "own", "n", "f", "hashes"]
+    dealt = dealt.withColumn("pair", F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))).select(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def links() -> pa.RecordBatch:
+            pairs = block_links(pa.Table.from_batches(held).to_pydict())
+            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            pair = b["pair"].to_numpy()
+            edge = np.flatnonzero(np.diff(pair, prepend=pair[:1] - 1, append=pair[-1:] + 1))
+            for x, y in zip(edge, edge[1:]):
+                if held and pair[x] != now:
+                    yield links()
+                    held = []
+                now = pair[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield links()
+
+    return _small_batches(dealt.repartition("pair").sortWithinPartitions("pair", "own").mapInArrow(run, "u long, v long"))
+
+
+def _small_batches(df: DataFrame) -> DataFrame:
+    """``df`` written with few rows a batch, for rows that hold sets."""
+    spark = df.sparkSession
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(BATCH))
+    try:
+        return stash(df, "links")
+    finally:
+        spark.conf.set(BATCH_CONF, before)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct ``pairs(a, b)`` whose sets are similar, as ``(u, v)``."""
+    """The distinct ``pairs(u, v)`` whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (b[c].to_pylist() for c in ("x", "y"))
             fine = pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["a"].filter(fine), b["b"].filter(fine)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([b["u"].filter(fine), b["v"].filter(fine)], ["u", "v"])
 
     pairs = stash(pairs.distinct(), "candidates")
-    need = stash(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "needed")
+    need = stash(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "needed")
     few = maybe_broadcast(need, need.count(), 64)
     own = stash(sets.join(few, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    x, y = own.select(F.col("node").alias("a"), F.col("hashes").alias("x")), own.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-    spark = pairs.sparkSession
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(BATCH))
-    try:
-        out = stash(both.mapInArrow(run, "u long, v long"), "links")
-    finally:
-        spark.conf.set(BATCH_CONF, before)
-    drop_stash(own)
-    drop_stash(pairs)
+    x, y = own.select(F.col("node").alias("u"), F.col("hashes").alias("x")), own.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
+    both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select("u", "v", "x", "y")
+    out = _small_batches(both.mapInArrow(run, "u long, v long"))
+    for done in (own, pairs, need):
+        drop_stash(done)
     return out
 
 
 def jaccard_components(docs: DataFrame, words: int) -> DataFrame:
     """``(did, rid, component)`` for every row: the connected components of texts that are at least ``LEAST`` alike."""
-    rows = stash(shingle_sets(docs, words), "shingles")
+    size = words_for(docs.count())
+    rows = stash(shingle_sets(docs, words, size), "shingles")
     fresh = rows.where("hashes is not null")
-    posted = fresh.select(F.explode("keys").alias("key"), "node", (F.length("hashes") / 8).cast("long").alias("n"))
-    dealt = posted.repartition("key").sortWithinPartitions("key", "node")
-    found = stash(dealt.mapInArrow(first_candidates, "key long, a long, b long"), "buckets")
+    names = [f"f{i}" for i in range(size)]
+    nodes = stash(fresh.groupBy("node").agg(F.first((F.length("hashes") / 8).cast("long")).alias("n"), F.first("f").alias("f")), "nodes")
+    wide = nodes.select("node", "n", *[F.col("f")[i].alias(c) for i, c in enumerate(names)])
+    plan = make_plan(*reversed(sampled(wide, names)), Alike(APART, MISS))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 2000):
+                b = big.slice(lo, 2000)
+                f = np.column_stack([b[c].to_numpy() for c in names]).view(np.uint64)
+                for at, key in probes(plan, f):
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(b[c].take(at) for c in ("node", "n", "f0", "f1"))], ["key", "node", "n", "f0", "f1"])
+
+    posted = wide.mapInArrow(probe, "key long, node long, n long, f0 long, f1 long")
     sets = fresh.select("node", "hashes")
-    links = verified(found.where("key is null").select("a", "b"), sets)
-    large = found.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
-    if not large.isEmpty():
-        so_far = connected_components(links)
-        named = large.join(so_far, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "node", "n")
-        apart = named.repartition("key").sortWithinPartitions("key", "component", "node").mapInArrow(later_candidates, "a long, b long")
-        links = links.union(verified(apart, sets))
+    links = posted_links(posted, near, lambda pairs: verified(pairs, sets), lambda large: group_links(large, nodes, sets))
     labels = connected_components(links)
     out = stash(rows.select("did", "rid", "node").join(labels, "node", "left").select("did", "rid", F.coalesce("component", "node").alias("component")), "labels")
     drop_stash(rows)
-    drop_stash(found)
+    drop_stash(nodes)
     return out
