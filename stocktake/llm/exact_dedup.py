@@ -74,12 +74,12 @@ def exact_dedup(batches: list[DataFrame], digest: Callable[[Column], Column] = f
         if groups is None:
             groups = stash(inc, "snapshot")
             continue
-        size = max(groups.count(), 1)
-        buckets = max(1, math.ceil(2 * size / BUCKET_DIGESTS))
+        inc = stash(inc, "incoming")
+        # as many buckets as the larger side asks for: what is built and what is probed both fit a task
+        buckets = max(1, math.ceil(2 * max(groups.count(), inc.count()) / BUCKET_DIGESTS))
         bucket = F.pmod(F.xxhash64("dig"), F.lit(buckets)).alias("bucket")
         # the filters of the snapshot, one row a bucket, kept beside it
         filters = stash(groups.select("dig", bucket).groupBy("bucket").applyInArrow(_build, "bucket long, seed string, segment long, span long, slots binary"), "filters")
-        inc = stash(inc, "incoming")
         maybe = stash(inc.select("dig", bucket).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_probe, "dig binary"), "maybe")
         hits = stash(inc.join(maybe, "dig", "left_semi").join(groups.select("dig", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n")), "dig"), "hits")
         merged = hits.select("dig", F.least("keep_id", "old_id").alias("keep_id"), (F.col("n") + F.col("old_n")).alias("n"))
