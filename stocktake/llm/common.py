@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 #: A side is broadcast only when its measured size is below this many bytes.
 BROADCAST_BYTES = 8 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While a table is stashed: what the write has shuffled goes when it has ended, and Python workers get texts in small batches.
+STASHING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: "2000"}
 #: Stands in for a null id in internal keys; no real id sorts before it. The last bit of a row's hash tells it from a real one.
 NULL_ID = -(2**63)
 
@@ -49,19 +51,23 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stocktake-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str = "part") -> DataFrame:
+def stash(df: DataFrame, name: str = "part", batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut there.
 
+    ``batch``: rows that a Python worker gets at once, if not the usual number.
     A lost executor costs only its running tasks; the table itself survives.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # what the write has shuffled goes when it has ended
+    settings = STASHING | ({BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -50,9 +50,9 @@ def gate(words: int) -> int:
 
 GATE = gate(2)
 #: Sets in a block.
-BLOCK = 1024
+BLOCK = 2048
 #: Pairs of sets that reach a Python worker at once.
-BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+BATCH = 500
 
 
 def words_for(n: int) -> int:
@@ -115,8 +115,8 @@ def block_links(rows: dict) -> list[tuple[int, int]]:
         return x
 
     found, most = [], gate(f.shape[1])
-    for lo in range(0, len(n), 256):
-        a, b = np.nonzero((comp[lo : lo + 256, None] < comp[None, :]) & ((own[lo : lo + 256, None] != own[None, :]) | (own[0] == own[-1])))
+    for lo in range(0, len(n), 64):
+        a, b = np.nonzero((comp[lo : lo + 64, None] < comp[None, :]) & ((own[lo : lo + 64, None] != own[None, :]) | (own[0] == own[-1])))
         a += lo
         fine = LEAST[1] * np.minimum(n[a], n[b]) >= LEAST[0] * np.maximum(n[a], n[b])
         a, b = a[fine], b[fine]
@@ -144,7 +144,10 @@ def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     most = per.groupBy("group").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
     blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
     sizes = most.select("group", F.col("top.component").alias("largest"), blocks(F.col("top.m")).alias("inside"), blocks(F.col("all") - F.col("top.m")).alias("outside")).where("outside > 0")
-    whole = named.join(sizes, "group").join(nodes, "node").join(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "node")
+    there = stash(named.join(sizes, "group"), "there")
+    need = maybe_broadcast(there.select("node"), there.count(), 64)
+    own_sets = sets.join(need, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    whole = there.join(nodes.join(need, "node", "left_semi"), "node").join(own_sets, "node")
     # blocks of the largest component have numbers below 0; they aren't compared with each other
     mine = F.col("component") == F.col("largest")
     own = F.when(mine, -1 - F.pmod(F.xxhash64("node"), F.col("inside"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outside"))).cast("int").alias("own")
@@ -173,18 +176,7 @@ def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
         if held:
             yield links()
 
-    return _small_batches(dealt.repartition("pair").sortWithinPartitions("pair", "own").mapInArrow(run, "u long, v long"))
-
-
-def _small_batches(df: DataFrame) -> DataFrame:
-    """``df`` written with few rows a batch, for rows that hold sets."""
-    spark = df.sparkSession
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(BATCH))
-    try:
-        return stash(df, "links")
-    finally:
-        spark.conf.set(BATCH_CONF, before)
+    return stash(dealt.repartition("pair").sortWithinPartitions("pair", "own").mapInArrow(run, "u long, v long"), "links", BATCH)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,7 +194,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     own = stash(sets.join(few, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     x, y = own.select(F.col("node").alias("u"), F.col("hashes").alias("x")), own.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
     both = pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select("u", "v", "x", "y")
-    out = _small_batches(both.mapInArrow(run, "u long, v long"))
+    out = stash(both.mapInArrow(run, "u long, v long"), "links", BATCH)
     for done in (own, pairs, need):
         drop_stash(done)
     return out

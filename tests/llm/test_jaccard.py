@@ -1,9 +1,11 @@
 import random
 
 import llm_brute as B
+import numpy as np
+import pytest
 
 import corpus_pipeline as C
-from stocktake.llm import jaccard
+from stocktake.llm import jaccard, simhash
 
 
 def shingles(text):
@@ -48,7 +50,10 @@ def test_pairs_around_the_limit(spark, sf):
     assert near(spark, sf, rows) == want
 
 
-def test_large_groups(spark, sf):
+@pytest.mark.parametrize("small", [256, 5])
+def test_large_groups(spark, sf, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng, rows = random.Random(12), []
     base = [f"w{i}" for i in range(200)]
     families = [edited(rng, base, 0.13) for _ in range(6)]
@@ -59,9 +64,28 @@ def test_large_groups(spark, sf):
     assert near(spark, sf, rows) == want
 
 
-def test_similar_is_exact():
-    import numpy as np
+def test_recall_at_the_limit():
+    """Of pairs at a similarity of 0.8 to 0.82, with sets of 20 to 400 shingles, candidates are found as planned."""
+    rng = np.random.default_rng(3)
+    n, met, past = 400, 0, 0
+    size = jaccard.words_for(250_000)
+    sample = rng.integers(0, 2**63, (512, size)).view(np.uint64)
+    plan = simhash.make_plan(sample, 250_000, simhash.Alike(jaccard.APART, jaccard.MISS))
+    for _ in range(n):
+        m = int(rng.integers(20, 400))
+        both, own = -(-8 * m // 9), m - -(-8 * m // 9)
+        h = rng.integers(0, 2**63, both + 2 * own).astype(np.uint64) * np.uint64(2)
+        sets = [np.append(h[:both], h[both : both + own]), np.append(h[:both], h[both + own :])]
+        assert jaccard.similar(np.sort(sets[0]), np.sort(sets[1]))
+        f = np.array([simhash.fingerprint(x, size) for x in sets], np.int64)
+        a, b = ({k for _, key in simhash.probes(plan, f[i : i + 1].view(np.uint64)) for k in key.tolist()} for i in (0, 1))
+        met += bool(a & b)
+        rows = np.array([[0, i, m, *f[i][:2]] for i in (0, 1)])
+        past += bool(jaccard.near(rows, np.array([0]), np.array([1]))[0])
+    assert met >= 0.975 * n and past >= 0.99 * n
+
 
+def test_similar_is_exact():
     a = np.arange(9, dtype=np.uint64)
     assert jaccard.similar(a[:8], np.append(a[:8], [20, 21]).astype(np.uint64))
     assert not jaccard.similar(a[:8], np.append(a[:8], [20, 21, 22]).astype(np.uint64))

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import llm_brute as B
 import numpy as np
@@ -27,8 +28,8 @@ def test_top_k_brute_force(spark):
 
 
 def test_top_k_over_shards(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(topk, "SEED_ROWS", 20)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 2 * 8 * 8)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(500)]
     df = vectors(spark, rows)
@@ -51,11 +52,27 @@ def test_op1_query(spark, sf):
 
 def test_threshold_prunes():
     rng = np.random.default_rng(3)
-    m = rng.integers(-9, 9, (12, 400))
-    q = rng.integers(-9, 9, 12)
-    found, scores = topk.max_score(m, np.arange(400), q, 5, 7, m.min(axis=1), m.max(axis=1))
-    want = sorted((-int(q @ m[:, i]), i) for i in range(400) if i != 5)[:7]
-    assert [(-int(s), int(i)) for i, s in zip(found, scores)] == want
+    m = (rng.normal(size=(12, 4000)) * 1000 / np.arange(1, 13)[:, None] ** 2).astype(np.int64)
+    for i in range(20):
+        q = m[:, i]
+        want = sorted((-int(q @ m[:, j]), j) for j in range(4000))[:7]
+        found, scores, probed = topk.max_score(m, np.arange(4000), q, 7, m.min(axis=1), m.max(axis=1))
+        assert [(-int(s), int(j)) for j, s in zip(found, scores)] == want
+        # a threshold known before leaves the less to probe
+        again, scores, fewer = topk.max_score(m, np.arange(4000), q, 7, m.min(axis=1), m.max(axis=1), -want[-1][0])
+        assert [(-int(s), int(j)) for j, s in zip(again, scores)] == want
+        assert fewer <= probed < 0.7 * m.size
+
+
+def test_candidates_are_rows(spark):
+    """Repeated ids, vectors or both each count, but for one row like the query's own; other columns may have any name."""
+    rows = [(0, [1.0, 2.0], "x")] * 3 + [(0, [2.0, 2.0], "x"), (5, [1.0, 2.0], "x"), (5, [1.0, 2.0], "x"), (None, [9.0, 9.0], "x"), (7, None, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string").selectExpr("*", *[f"q AS {c}" for c in ("v", "key", "floor", "score", "like", "rank", "shard")]).repartition(2)
+    out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id = 0"), 4).collect())
+    a, b, c = (1024 * 1024 * x for x in (5, 6, 8))
+    # of the three equal rows each sees two like itself
+    want = 3 * [(0, 1, 0, b), (0, 2, 0, a), (0, 3, 0, a), (0, 4, 5, a)] + [(0, 1, 0, b), (0, 2, 0, b), (0, 3, 0, b), (0, 4, 5, b)]
+    assert c and out == sorted(want)
 
 
 # --- op4 ---
@@ -118,6 +135,19 @@ def test_packing_odd(odd_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_of_repeated_ids(spark):
+    rows = [(None, "a b")] * 3 + [(1, "x y z"), (1, "x y z"), (1, "p q")] + [(2, None), (2, "one")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), buckets=2, budget=6).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in out), key=str) == sorted([(None, 2)] * 3 + [(1, 3), (1, 3), (1, 2), (2, 0), (2, 1)], key=str)
+    for bucket in {r["bucket"] for r in out}:
+        own = sorted((r for r in out if r["bucket"] == bucket), key=lambda r: (r["batch"], r["slot"]))
+        ids = [r["doc_id"] for r in own]
+        assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))  # no id first, then by id
+        fit = max(1, 6 // max(own[0]["bucket_len"], 1))
+        assert [(r["batch"], r["slot"]) for r in own] == [(i // fit, i % fit) for i in range(len(own))]
+    assert sum(r["padding"] for r in out) == B.best_padding([2, 2, 2, 3, 3, 2, 0, 1], 2)
+
+
 def test_packing_with_a_very_long_text(spark):
     rng = random.Random(6)
     lengths = [rng.randint(1, 400) for _ in range(60)] + [200_001]
@@ -200,6 +230,42 @@ def test_quality_odd(spark, odd_docs, no_docs):
     assert quality.quality_scores(no_docs, labels).count() == 0
 
 
+def test_fit_brute_force(spark):
+    """Means, shrunk covariances and scores of the model, from all training rows at once."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["quality"] is not None}
+    x, y = np.array([quality.statistics(texts[d]) for d in marks]), np.array(list(marks.values()))
+    model = quality.train(docs, labels)
+    covs = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * covs[k] for k in (0, 1))
+    dens = []
+    everything = np.array([quality.statistics(t) for t in texts.values()])
+    for k in (0, 1):
+        assert np.allclose(model.means[k], x[y == k].mean(axis=0))
+        c = 0.9 * covs[k] + 0.1 * pooled
+        c = 0.98 * c + 0.02 * np.diag(np.diag(c)) + np.diag(1e-3 + 1e-3 * (np.diag(pooled) + 1e-3))
+        assert np.allclose(model.factors[k] @ model.factors[k].T, c)
+        z = everything - x[y == k].mean(axis=0)
+        dens.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z))
+    want = dict(zip(texts, 1 / (1 + np.exp(np.clip(dens[0] - dens[1], -500, 500)))))
+    got = {r["doc_id"]: r for r in quality.quality_scores(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    for d, r in got.items():
+        assert abs(r["score"] - want[d]) < 1e-6 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0)
+    kept = {r["doc_id"] for r in quality.accepted(docs, labels).collect()}
+    assert kept == {d for d, r in got.items() if r["predicted"]}
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.createDataFrame([(i, f"{'good text ' * (i % 7 + 1)}{'!' * (i % 5)} {i}") for i in range(60)], "doc_id long, text string")
+    once = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    more = once.union(once.where("doc_id % 3 = 0")).union(spark.createDataFrame([(4, 1, 0)], once.schema))
+    a, b = quality.train(docs, once), quality.train(docs, more)
+    assert all(np.allclose(x, y) for x, y in zip(a.means + a.factors, b.means + b.factors))
+
+
 def test_factors_give_log_densities():
     rng = np.random.default_rng(8)
     a = rng.normal(size=(5, 5))
