@@ -8,10 +8,12 @@ pipeline against brute force.
 Defined results: rows with null or empty texts go through every stage like
 others (all empty texts are near duplicates of each other, so one stays); near
 duplicates are linked by their texts alone, so rows that share an id, or have
-none, stay when their texts differ; a row
-whose text is removed entirely by a later stage stays with an empty text; an
-empty table gives an empty result; further columns are kept by all stages but
-the last, whatever their names.
+none, stay when their texts differ; of a group the row with the smallest id stays
+(none counts as the smallest; of rows that share it, that with the smallest hash of
+the text; of rows that repeat both, one, with the other columns that come first as
+JSON); a row whose text is removed entirely by a later stage stays with an empty
+text; texts of any length are read whole; an empty table gives an empty result;
+further columns are kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +32,6 @@ from stocktake.llm.suffix_dedup import suffix_dedup
 
 #: Near duplicates: five-word shingles, linked at a Jaccard similarity of 0.8 (``jaccard.LEAST``).
 SHINGLE = 5
-#: The estimate by fingerprints that links were made by before; only a test compares with it.
-SEEDS = (42, 43, 44, 45)
-DISTANCE = 13
-OVERALL = 44
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +43,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest id stays (of rows that share it, the smallest hash of the text)."""
+    """SimHash finds candidates, exact similarity decides; of each component the row with the smallest id stays."""
     rows = jaccard_components(docs, SHINGLE)
-    one = stash(rows.groupBy("component").agg(F.min(F.struct("did", "rid")).alias("keep")).select("keep.*"), "kept")
-    again = one.join(rows.groupBy("did", "rid").agg(F.count("*").alias("n")).where("n > 1"), ["did", "rid"], "left_semi")
-    kept = doc_keys(docs, carry=True).join(one.hint("merge"), ["did", "rid"], "left_semi")
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["did", "rid"])
-    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    one = stash(rows.groupBy("component").agg(F.min(F.struct("did", "rid")).alias("keep"), F.count("*").alias("n")).select("keep.*", "n"), "kept")
+    kept = doc_keys(docs, carry=True).join(one.hint("merge"), ["did", "rid"])
+    # a row can only be repeated where its component has several; those are few and meet by their key
+    single, several = kept.where("n = 1"), kept.where("n > 1")
+    first = several.groupBy("did", "rid", "text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    left = single.select("text", "row").union(first.select("text", "row"))
+    return left.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
