@@ -14,7 +14,7 @@ from stocktake.operators import diff as D
 from stocktake.operators import listing as L
 from stocktake.operators import summary as S
 from stocktake.operators import trace as T
-from stocktake.plans import manifest, probe
+from stocktake.plans import hints, manifest, probe
 from stocktake.sources import adapters as A
 from stocktake.sources import sinks
 from stocktake.streaming import trace_stream
@@ -229,10 +229,10 @@ def saturating_bytes(spark, sf):
 # --- sinks as rows --------------------------------------------------------------------
 
 
-@register(f"SELECT replace(replace(replace(replace(Key, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') || chr(9) || CAST(Size AS VARCHAR) || chr(9) || CAST(LastModified AS VARCHAR) AS value FROM (SELECT left(text, 60) AS Key, n_chars AS Size, 1704067200 + doc_id * 60 AS LastModified FROM documents)")
+@register(f"SELECT replace(replace(replace(replace(Key, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') || chr(9) || CAST(Size AS VARCHAR) || chr(9) || CAST(LastModified AS VARCHAR) AS value FROM (SELECT text AS Key, n_chars AS Size, 1704067200 + doc_id * 60 AS LastModified FROM documents)")
 def tsv_rows(spark, sf):
     docs = A.load(spark, sf, "documents")
-    return sinks.tsv_lines(docs.select(F.left("text", F.lit(60)).alias("Key"), F.col("n_chars").alias("Size"), (F.lit(A.EPOCH) + F.col("doc_id") * 60).alias("LastModified")))
+    return sinks.tsv_lines(docs.select(F.col("text").alias("Key"), F.col("n_chars").alias("Size"), (F.lit(A.EPOCH) + F.col("doc_id") * 60).alias("LastModified")))
 
 
 @register(f"SELECT '{{\"k\":\"' || Key || '\",\"s\":' || CAST(Size AS VARCHAR) || ',\"m\":' || CAST(LastModified AS VARCHAR) || '}}' AS value FROM {D_SQL}")
@@ -316,6 +316,20 @@ def diff_dedupe_latest(spark, sf):
     return D.dedupe_latest(A.events_dups(spark, sf), "seq")
 
 
+LATEST = "(SELECT Key, Size, LastModified, ETag FROM (SELECT *, row_number() OVER (PARTITION BY Key ORDER BY seq DESC) AS k FROM (SELECT * FROM {} WHERE {})) WHERE k = 1)"
+ONE, TWO = LATEST.format(EVENTS, "seq % 3 <> 0"), LATEST.format(EVENTS, "seq % 5 <> 1")
+
+
+@register(
+    f"SELECT coalesce(l.Key, r.Key) AS Key, coalesce(l.Size, r.Size) AS Size, CASE WHEN r.Key IS NULL THEN 1 WHEN l.Key IS NULL THEN 2 WHEN l.Size = r.Size AND l.ETag = r.ETag THEN 0 ELSE 3 END AS flag FROM {ONE} l FULL JOIN {TWO} r ON l.Key = r.Key"
+)
+def diff_repeated_keys(spark, sf):
+    """The path of a whole run: sides with repeated keys, of which the latest counts."""
+    rows = A.events_dups(spark, sf)
+    sides = (D.unique(D.numbered(rows.where(p))) for p in ("seq % 3 <> 0", "seq % 5 <> 1"))
+    return D.diff(*sides).rows.select("Key", "Size", F.col("DiffFlag").cast("int").alias("flag"))
+
+
 # --- sets, boundaries, order --------------------------------------------------------------------
 
 
@@ -333,11 +347,8 @@ def boundary_dedup(spark, sf):
 
 @register("SELECT CAST(count(*) AS BIGINT) AS faults FROM (SELECT Key, lag(Key) OVER (PARTITION BY g ORDER BY seq) AS before FROM (SELECT *, seq % 8 AS g FROM " + EVENTS + ")) WHERE Key < before")
 def order_guard(spark, sf):
-    from pyspark.sql import Window
-
-    rows = A.events_dups(spark, sf).withColumn("g", F.col("seq") % 8)
-    before = F.lag("Key").over(Window.partitionBy("g").orderBy("seq"))
-    return rows.withColumn("before", before).agg(F.count_if(F.col("Key") < F.col("before")).alias("faults"))
+    rows = A.events_dups(spark, sf).withColumn("part", F.col("seq") % 8)
+    return D.order_faults(rows, "seq").agg(F.count("*").alias("faults"))
 
 
 @register("SELECT x AS segment_index FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS x) WHERE x NOT IN (1, 3, 4)")
@@ -360,8 +371,8 @@ def keys_except(spark, sf):
 
 @register("SELECT DISTINCT p FROM (SELECT source || '/' AS p FROM documents UNION ALL SELECT source || '/' || lang || '/' FROM documents)")
 def discovered_prefixes(spark, sf):
-    ups = A.documents(spark, sf).select(F.explode(keys.ancestors(F.col("Key"))).alias("p"))
-    return ups.where("p != ''").distinct()
+    found = hints.discover(A.documents(spark, sf), 256, depth=9)
+    return spark.createDataFrame([(p,) for p in found], "p string")
 
 
 # --- traces ------------------------------------------------------------------------------------------
@@ -480,9 +491,8 @@ def sanitize_path(spark, sf):
 
 @register("SELECT sha256(string_agg(b || chr(0), '' ORDER BY b)) AS digest FROM (SELECT DISTINCT source || '/' AS b FROM documents)")
 def boundary_digest(spark, sf):
-    docs = A.load(spark, sf, "documents").select(F.concat("source", F.lit("/")).alias("b"))
-    ended = F.transform(F.array_sort(F.collect_set("b")), lambda b: F.concat(b, F.lit("\0")))
-    return docs.agg(F.sha2(F.array_join(ended, ""), 256).alias("digest"))
+    bounds = A.load(spark, sf, "documents").select(F.concat("source", F.lit("/")).alias("b")).distinct().orderBy("b")
+    return spark.createDataFrame([(hints.digest([r["b"] for r in bounds.collect()]),)], "digest string")
 
 
 @register("SELECT page_id, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS size_bytes, CAST(length(html) - length(replace(html, chr(10), '')) AS BIGINT) AS line_count FROM pages")

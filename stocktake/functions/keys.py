@@ -41,6 +41,14 @@ def tsv_escape(text: Column) -> Column:
     return text
 
 
+def tsv_unescape(text: Column) -> Column:
+    """What ``tsv_escape`` was given; NUL, which no key holds, stands in for a backslash meanwhile."""
+    text = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    for raw, shown in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\\", "\0")):
+        text = F.replace(text, F.lit(shown), F.lit(raw))
+    return text
+
+
 def csv_quote(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
@@ -59,10 +67,6 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
-def age_days(stamp: Column, now: Column) -> Column:
-    return F.datediff(now, stamp)
-
-
 def error_class(code: Column) -> Column:
     """Name, number and whether a try again may help, for an error code of the listing API."""
     number = F.lit(255)

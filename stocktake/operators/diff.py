@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocktake.functions import etag, keys
+from stocktake.functions import etag
 from stocktake.functions.predicate import bindings, compile_filter, keep_column, mentions_target, value_column
 from stocktake.operators.summary import prefix_stats
 from stocktake.schema import DIFFERENT, EQUAL, LEFT_ONLY, RIGHT_ONLY
@@ -21,10 +21,21 @@ def dedupe_latest(listing: DataFrame, seq: str) -> DataFrame:
     return last.select("Key", *[F.col(f"last.{c}").alias(c) for c in VALUES])
 
 
+def numbered(listing: DataFrame, seq: str = "seq") -> DataFrame:
+    """The listing with its rows' order as read, unless it has one."""
+    return listing if seq in listing.columns else listing.withColumn(seq, F.monotonically_increasing_id())
+
+
+def unique(listing: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row a key, the latest by ``seq``. Keys are counted by their hashes first; only where some repeat are rows grouped."""
+    again = listing.groupBy(F.xxhash64("Key").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
+    return listing.drop(seq) if again.isEmpty() else dedupe_latest(listing, seq)
+
+
 def order_faults(listing: DataFrame, seq: str) -> DataFrame:
-    """Rows whose key comes before the key of the row ahead of them, within parts of the input of about equal size."""
+    """Rows whose key comes before the key of the row ahead of them, within the parts that the input is read in (or a column ``part``)."""
     parts = Window.partitionBy("part").orderBy(seq)
-    cut = listing.withColumn("part", F.spark_partition_id())
+    cut = listing if "part" in listing.columns else listing.withColumn("part", F.spark_partition_id())
     return cut.withColumn("before", F.lag("Key").over(parts)).where("Key < before").select("Key", "before", seq)
 
 
@@ -85,7 +96,3 @@ def union_parts(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def key_prefix(df: DataFrame) -> DataFrame:
-    return df.withColumn("Prefix", keys.prefix(F.col("Key")))

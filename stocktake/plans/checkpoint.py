@@ -38,6 +38,8 @@ class Journal:
     total_segments: int
     boundaries_digest: str | None
     completed: list[int] = field(default_factory=list)
+    #: What each finished wave of segments has counted, by the name of its folder.
+    waves: dict[str, dict[str, int]] = field(default_factory=dict)
 
     def complete(self, *segments: int) -> None:
         self.completed = sorted({*self.completed, *segments})
@@ -57,7 +59,7 @@ class Journal:
         """Refused if it is of another run or of other segments; as many segments is not enough."""
         with open(path) as f:
             data = json.load(f)
-        journal = cls(Identity(**data["identity"]), data["total_segments"], data.get("boundaries_digest"), sorted(set(data["completed"])))
+        journal = cls(Identity(**data["identity"]), data["total_segments"], data.get("boundaries_digest"), sorted(set(data["completed"])), data.get("waves", {}))
         if wrong := journal.identity.mismatches(identity):
             raise CheckpointError("of another run: " + ", ".join(wrong))
         if journal.total_segments != len(boundaries) + 1 or journal.boundaries_digest != digest(boundaries):

@@ -15,6 +15,8 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Config:
+    """Settings of a run. Both timeouts and ``channel_capacity`` are read and checked, but a Spark task has no use for them."""
+
     bucket: str = ""
     region: str | None = None
     profile: str | None = None

@@ -126,25 +126,21 @@ def _artifact_checks(a: dict, label: str) -> Iterable[Check]:
             yield _is(f"artifact_parquet_schema:{label}", now["schema_fields"] == recorded["schema_fields"])
 
 
-SHOWN = {"skip": "not_applicable"}
-RANK = {"fail": 3, "warn": 2, "ok": 1}
+#: Statuses from the gravest; a check that doesn't apply says nothing.
+GRAVITY = ("fail", "warn", "ok", "not_applicable")
 
 
 def roll_up(checks: list[Check]) -> dict:
-    """Counts, and what single checks say; ``worst`` looks at all artifacts of a kind."""
-    status = Counter(c.status for c in checks)
-
-    def one(name: str) -> str:
-        return next((SHOWN.get(c.status, c.status) for c in checks if c.name == name), "not_applicable")
-
-    def worst(name: str) -> str:
-        found = [SHOWN.get(c.status, c.status) for c in checks if c.name == name or c.name.startswith(name + "#")]
-        return max(found, key=lambda s: RANK.get(s, 0), default="not_applicable")
-
+    """Counts, and what the checks of a kind say together: the gravest of them."""
+    by_kind: dict[str, list[str]] = {}
+    for c in checks:
+        by_kind.setdefault(c.name.split("#", 1)[0], []).append("not_applicable" if c.status == "skip" else c.status)
+    said = {kind: min(found, key=GRAVITY.index) for kind, found in by_kind.items()}
+    every = Counter(s for found in by_kind.values() for s in found)
+    files = [s for kind, found in by_kind.items() if kind.startswith("artifact_exists:") for s in found]
     return {
-        "ok": status["fail"] == 0, "errors": status["fail"], "warnings": status["warn"], "skipped": status["skip"],
-        "artifacts_missing": sum(c.name.startswith("artifact_exists:") and c.status == "fail" for c in checks),
-        "row_check": one("parquet_rows_match_streamed_rows"), "parquet_schema_check": worst("artifact_parquet_schema:parquet"), "exit_code_check": one("exit_code"),
+        "ok": not every["fail"], "errors": every["fail"], "warnings": every["warn"], "skipped": every["not_applicable"], "artifacts_checked": len(files), "artifacts_missing": files.count("fail"),
+        **{field: said.get(kind, "not_applicable") for field, kind in (("row_check", "parquet_rows_match_streamed_rows"), ("parquet_schema_check", "artifact_parquet_schema:parquet"), ("exit_code_check", "exit_code"))},
     }
 
 

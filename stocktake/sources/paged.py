@@ -2,7 +2,8 @@
 
 ``ObjectPager`` is the API; ``FolderPager`` serves a folder tree through it. Register
 ``ObjectListSource`` and read ``format("objlist")`` with options ``path``, ``prefix``,
-``start_after``, ``delimiter``, ``max_keys``, ``boundaries`` (one a line), ``retries``.
+``start_after``, ``delimiter``, ``max_keys``, ``boundaries`` (one a line), ``retries``,
+``backoff`` (seconds), ``continuation_token``.
 """
 
 from __future__ import annotations
@@ -45,45 +46,43 @@ class ObjectPager(Protocol):
 
 
 class FolderPager:
-    """Files below a folder, in byte order of their paths from it."""
+    """Files below a folder, in byte order of their paths from it; a page reads no further than it has to."""
 
     def __init__(self, root: str):
         self.root = root
 
-    def _keys(self, prefix: str) -> list[str]:
-        out = []
-        for at, _, names in os.walk(self.root):
-            rel = os.path.relpath(at, self.root)
-            out += [n if rel == "." else f"{rel}/{n}" for n in names]
-        return sorted((k for k in out if k.startswith(prefix)), key=str.encode)
+    def _walk(self, folder: str, prefix: str, after: bytes) -> Iterator[str]:
+        """Keys below ``folder`` that have the prefix and may come after ``after``, in order."""
+        with os.scandir(os.path.join(self.root, folder)) as found:
+            names = sorted((folder + e.name + ("/" if e.is_dir() else "") for e in found), key=str.encode)
+        for name in names:
+            if not name.endswith("/"):
+                if name.startswith(prefix) and name.encode() > after:
+                    yield name
+            # a folder is entered unless all that is below it lies before the cursor, or outside the prefix
+            elif (name.startswith(prefix) or prefix.startswith(name)) and (name.encode() > after or after.startswith(name.encode())):
+                yield from self._walk(name, prefix, after)
 
     def page(self, prefix: str, start_after: str, delimiter: str, max_keys: int, token: str | None) -> Page:
         after = token if token is not None else start_after
-        page = Page([])
-        last = None
-        for key in self._keys(prefix):
-            rest = key[len(prefix) :]
-            if delimiter and delimiter in rest:
-                rolled = prefix + rest.split(delimiter, 1)[0] + delimiter
-                if rolled <= after or page.common_prefixes[-1:] == [rolled]:
-                    continue
-                item: str = rolled
-            elif key <= after:
+        page, last = Page([]), None
+        for key in self._walk("", prefix, after.encode()):
+            head, found, _ = key[len(prefix) :].partition(delimiter) if delimiter else ("", "", "")
+            item = prefix + head + found if found else key
+            if found and (item.encode() <= after.encode() or page.common_prefixes[-1:] == [item]):
                 continue
-            else:
-                item = key
             if len(page.objects) + len(page.common_prefixes) == max_keys:
                 page.token = last
                 break
             last = item
-            if item is not key and item != key:
+            if found:
                 page.common_prefixes.append(item)
-            else:
-                path = os.path.join(self.root, key)
-                stat = os.stat(path)
-                with open(path, "rb") as f:
-                    digest = hashlib.file_digest(f, "md5").hexdigest()
-                page.objects.append((key, stat.st_size, int(stat.st_mtime), f'"{digest}"'))
+                continue
+            path = os.path.join(self.root, key)
+            stat = os.stat(path)
+            with open(path, "rb") as f:
+                digest = hashlib.file_digest(f, "md5").hexdigest()
+            page.objects.append((key, stat.st_size, int(stat.st_mtime), f'"{digest}"'))
         return page
 
 
@@ -113,19 +112,6 @@ def list_segment(pager: ObjectPager, prefix: str = "", low: str | None = None, h
         token = page.token
 
 
-def cut_candidates(cursor: str, low: str, high: str | None) -> list[str]:
-    """Strings between two keys to split a range at: the cursor's head, one printable character further."""
-    out = []
-    for share in (0.5, 0.75, 0.875, 0.25):
-        n = max(1, int(len(cursor) * share))
-        head, c = cursor[: n - 1], cursor[n - 1 : n]
-        if c and " " <= c < "~":
-            cut = head + chr(ord(c) + 1)
-            if cut > max(cursor, low) and (high is None or cut < high) and cut not in out:
-                out.append(cut)
-    return out
-
-
 @dataclass
 class Segment(InputPartition):
     low: str | None
@@ -147,7 +133,7 @@ class ObjectListReader(DataSourceReader):
         o = self.options
         pager = FolderPager(o["path"])
         prefix = "" if o.get("prefix", "") == "/" else o.get("prefix", "")
-        for key, size, stamp, tag in list_segment(pager, prefix, partition.low, partition.high, o.get("start_after", ""), o.get("delimiter", ""), int(o.get("max_keys", 1000)), int(o.get("retries", 10)), token=o.get("continuation_token")):
+        for key, size, stamp, tag in list_segment(pager, prefix, partition.low, partition.high, o.get("start_after", ""), o.get("delimiter", ""), int(o.get("max_keys", 1000)), int(o.get("retries", 10)), float(o.get("backoff", 0)), token=o.get("continuation_token")):
             yield key, size, stamp, tag.strip('"')
 
 

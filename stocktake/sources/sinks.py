@@ -29,13 +29,13 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd", level: in
 
 
 def write_prefix_counts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One sorted file of ``"prefix","count"`` lines, of an inventory or of its prefix sums.
+    """``"prefix","count"`` lines, of an inventory or of its prefix sums, in files that are sorted and follow each other.
 
-    Counts are summed before, so that file holds a row a prefix; the sort is by ranges, and only the writing is of one task.
+    Ranges of prefixes are dealt to tasks, each of which sorts and writes its own; the files' names are in the order of the ranges.
     """
     counts = df.select("Prefix", F.col("objects").alias("count")) if "objects" in df.columns else prefix_counts(df)
     rows = counts.orderBy("Prefix").select("Prefix", F.col("count").cast("string").alias("count"))
-    rows.coalesce(1).write.mode(mode).option("quoteAll", True).option("escape", '"').option("header", False).csv(path)
+    rows.write.mode(mode).option("quoteAll", True).option("escape", '"').option("header", False).csv(path)
 
 
 def tsv_lines(listing: DataFrame) -> DataFrame:
@@ -57,11 +57,3 @@ def write_ndjson(listing: DataFrame, path: str, mode: str = "errorifexists") ->
 def write_trace(trace: DataFrame, path: str, mode: str = "append") -> None:
     """JSON lines; fields that are not set are left out."""
     trace.write.mode(mode).option("ignoreNullFields", True).json(path)
-
-
-def part_path(path: str, n: int) -> str:
-    """``.partN`` before the extension of the last component; hidden names without another dot get it at the end."""
-    folder, slash, base = path.rpartition("/")
-    stem, dot, ext = base.rpartition(".")
-    named = f"{stem}.part{n}.{ext}" if dot and stem else f"{base}.part{n}"
-    return folder + slash + named

@@ -47,3 +47,23 @@ def test_usage_errors_and_plans(folder, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["hints"]["boundaries"] == 2
     (tmp_path / "bad.toml").write_text('profile = "minio"\n')
     assert main(["--config", str(tmp_path / "bad.toml"), "doctor"]) == 3
+
+
+def test_discovery_cache_and_probes(spark, folder, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    out = ["--output-dir", str(tmp_path / "x")]
+    assert main(["discover", folder]) == 0
+    assert (tmp_path / "in_hints.toml").exists()
+    capsys.readouterr()
+    assert main(["list", folder, *out, "--plan-json"]) == 0
+    assert json.loads(capsys.readouterr().out)["segments"] == 3
+    assert main(["list", folder, *out, "--no-auto-hints", "--plan-json"]) == 0
+    assert json.loads(capsys.readouterr().out)["segments"] == 1
+    assert main(["list", folder, *out, "--continuation-token", "a/1.txt", "--start-after", "a"]) == 2
+    assert main(["list", folder, *out, "--continuation-token", "a/1.txt"]) == 0
+    assert sorted(r["Key"] for r in spark.read.parquet(str(tmp_path / "x/rows")).collect()) == ["a/2.txt", "b/3.txt"]
+    capsys.readouterr()
+    (tmp_path / "p.json").write_text(json.dumps({"endpoint_url": "https://x", "tests": [{"test": "head_bucket", "status": "ok"}, {"test": "list_prefix", "status": "error", "http_status": 403}]}))
+    assert main(["compat-probe", str(tmp_path / "p.json")]) == 6
+    said = json.loads(capsys.readouterr().out)
+    assert said["overall"] == {"https://x": "partial"} and said["errors"][0]["diagnosis"] == "access_denied"

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from stocktake.plans import probe as P
 from stocktake.plans import run as R
 from stocktake.plans.checkpoint import CheckpointError, Identity, Journal, start
 from stocktake.schema import TRACE
-from stocktake.sources.paged import FolderPager, ListingError, ObjectListSource, Page, cut_candidates, list_segment
+from stocktake.sources.paged import FolderPager, ListingError, ObjectListSource, Page, list_segment
 from stocktake.streaming import trace_stream
 
 
@@ -150,9 +151,24 @@ def test_retry_from_the_cursor(tmp_path):
     assert Page([]).token is None
 
 
-def test_cut_candidates_lie_inside():
-    cuts = cut_candidates("prefix-17/object-0000", "prefix-1", "prefix-9")
-    assert cuts and all("prefix-17/object-0000" < c < "prefix-9" for c in cuts)
+def test_pages_read_no_further(tmp_path, monkeypatch):
+    """Keys come in byte order, below folders too, and a page enters no folder that lies before its cursor or behind its end."""
+    for k in ("a-b", "a/1", "a/2/x", "a0", "b/1", "b/2", "c"):
+        p = tmp_path / k
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(k)
+    pager, entered = FolderPager(str(tmp_path)), []
+    scan = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: entered.append(os.path.relpath(p, tmp_path)) or scan(p))
+    keys = ["a-b", "a/1", "a/2/x", "a0", "b/1", "b/2", "c"]
+    assert [r[0] for r in pager.page("", "", "", 100, None).objects] == keys
+    entered.clear()
+    assert [r[0] for r in pager.page("", "b/1", "", 1, None).objects] == ["b/2"] and "a" not in entered
+    entered.clear()
+    assert [r[0] for r in pager.page("", "", "", 2, None).objects] == ["a-b", "a/1"] and "b" not in entered
+    assert [r[0] for r in pager.page("a/2", "", "", 9, None).objects] == ["a/2/x"]
+    for after in [*keys, "a", "a/", "b", "zz"]:
+        assert [r[0] for r in pager.page("", after, "", 100, None).objects] == [k for k in keys if k > after]
 
 
 def test_probe(spark):
