@@ -135,9 +135,12 @@ def block_links(rows: dict) -> list[tuple[int, int]]:
 def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """``(u, v)``: links between components among nodes that share buckets ``large(key, node, component)``."""
     least = large.groupBy("key").agg(F.min("node").alias("v"))
-    members = stash(large.select("key", "node", "component"), "members")
-    found = connected_components(members.join(least, "key").select(F.col("node").alias("u"), "v"))
-    named = members.select("node", "component").distinct().join(found.withColumnRenamed("component", "group"), "node")
+    members = stash(large.join(least, "key").select("node", "component", "v"), "members")
+    # a node's buckets are joined by the least of their first nodes, so that few links are left
+    own = members.groupBy("node").agg(F.min("v").alias("u"))
+    links = members.join(own, "node").select("u", "v").distinct().union(own.select(F.col("node").alias("u"), F.col("u").alias("v")))
+    found = connected_components(links)
+    named = members.select("node", "component").distinct().join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     named = stash(named, "groups")
     drop_stash(members)
     per = named.groupBy("group", "component").agg(F.count("*").alias("m"))

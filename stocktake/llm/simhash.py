@@ -227,7 +227,7 @@ def _pairs(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(rows: np.ndarray, near: Near, center: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links in small buckets (runs of equal keys in column 0, nodes in column 1), links of the smallest node of large ones, and the rows of those.
+    """Links in small buckets (runs of equal keys in column 0, nodes in column 1); the rows of large ones; and what those link to: the bucket's smallest node, or themselves.
 
     With ``center``, a row of an earlier part of the bucket, all rows are of one large bucket.
     """
@@ -251,9 +251,9 @@ def bucket_links(rows: np.ndarray, near: Near, center: np.ndarray | None = None)
     linked = np.zeros(len(rows), bool)
     linked[a] = linked[b] = True
     keep = ~dense[a]
-    at = np.flatnonzero((large | dense) & (np.arange(len(rows)) > start))
+    at = np.flatnonzero(large | dense & linked)[1 if center is not None else 0 :]
     ok = near(rows, start[at], at)
-    return _pairs(rows[:, 1], a[keep], b[keep]), _pairs(rows[:, 1], start[at][ok], at[ok]), rows[large | dense & linked][1 if center is not None else 0 :]
+    return _pairs(rows[:, 1], a[keep], b[keep]), rows[at], np.where(ok, rows[start[at], 1], rows[at, 1])
 
 
 def posted_links(posted: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame] = lambda links: links, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -269,14 +269,12 @@ def posted_links(posted: DataFrame, near: Near, verify: Callable[[DataFrame], Da
     def table_of(b: pa.RecordBatch, columns: list[str]) -> np.ndarray:
         return np.column_stack([b[c].to_numpy().astype(np.int64) for c in columns])
 
-    def out(small: np.ndarray, star: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for kind, links in enumerate((small, star)):
-            if len(links):
-                gone = pa.nulls(len(links), pa.int64())
-                yield pa.RecordBatch.from_arrays([gone, pa.array(np.full(len(links), kind)), *[gone] * len(further), pa.array(links[:, 0]), pa.array(links[:, 1])], [*names, "u", "v"])
+    def out(links: np.ndarray, rows: np.ndarray, to: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(links):
+            gone = pa.nulls(len(links), pa.int64())
+            yield pa.RecordBatch.from_arrays([gone, gone, *[gone] * len(further), pa.array(links[:, 0]), pa.array(links[:, 1])], [*names, "u", "v"])
         if len(rows):
-            gone = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in rows.T), gone, gone], [*names, "u", "v"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in (*rows.T, rows[:, 1], to))], [*names, "u", "v"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None  # an unfinished bucket, or the first row of one that is large
@@ -300,17 +298,16 @@ def posted_links(posted: DataFrame, near: Near, verify: Callable[[DataFrame], Da
                 yield from out(*bucket_links(rows[:cut], near))
             held = rows[cut:]
             if len(held) > 2 * SMALL:
-                small, star, _ = bucket_links(held[1:], near, held[:1])
-                yield from out(small, star, held)
+                links, rows, to = bucket_links(held[1:], near, held[:1])
+                yield from out(links, np.concatenate([held[:1], rows]), np.append(held[0, 1], to))
                 held, large = held[:1], True
         if held is not None and not large:
             yield from out(*bucket_links(held, near))
 
     kinds = ", ".join(f"{c} long" for c in (*names, "u", "v"))
     found = stash(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(first, kinds), "buckets")
-    # the smallest node is always v; links of large buckets are rows with 1 in place of the node
-    star = found.where("u is not null and node = 1").groupBy("u").agg(F.min("v").alias("v"))
-    links = verify(found.where("u is not null and node = 0").select("u", "v").union(star))
+    star = found.where("key is not null and u != v").groupBy("u").agg(F.min("v").alias("v"))
+    links = verify(found.where("key is null").select("u", "v").union(star))
     rows = found.where("key is not null").select(*names)
     if rows.isEmpty():
         return links
