@@ -21,20 +21,22 @@ from stocktake.plans import config, manifest, probe
 from stocktake.plans import run as R
 from stocktake.plans.checkpoint import CheckpointError
 from stocktake.plans.hints import Hints, HintsError, cache_name, discover, parse_hints, preview, render_cache, usable_cache
-from stocktake.sources.paged import ObjectListSource
+from stocktake.sources.paged import register
 
 
-def inventory(spark: SparkSession, place: str, boundaries: list[str], settings: config.Config, token: str | None = None) -> DataFrame:
+def inventory(spark: SparkSession, place: str, boundaries: list[str], settings: config.Config, token: str | None = None, trace: str | None = None) -> DataFrame:
     """``seq``, where there is one, is the place of a row in its files: of repeated keys the last is the latest."""
     if not place.startswith("folder:"):
         rows = spark.read.option("recursiveFileLookup", True).parquet(place)
         return conform(rows).withColumn("seq", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
-    spark.dataSource.register(ObjectListSource)
+    register(spark)
     options = {"path": place.removeprefix("folder:"), "prefix": settings.prefix, "delimiter": settings.delimiter, "boundaries": "\n".join(boundaries), "retries": str(settings.max_attempts), "backoff": str(settings.backoff_secs)}
     if settings.max_keys:
         options["max_keys"] = str(settings.max_keys)
     if token:
         options["continuation_token"] = token
+    if trace:
+        options["trace"] = trace
     return spark.read.format("objlist").options(**options).load()
 
 
@@ -46,7 +48,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         c = sub.add_parser(name)
         c.add_argument("inputs", nargs=1 if name == "list" else 2)
         c.add_argument("--output-dir", required=True)
-        for flag in ("--prefix", "--delimiter", "--filter", "--compression", "--run-manifest"):
+        for flag in ("--prefix", "--delimiter", "--filter", "--compression", "--run-manifest", "--trace-compat"):
             c.add_argument(flag)
         c.add_argument("--concurrency", type=int)
         c.add_argument("--compression-level", type=int)
@@ -154,11 +156,19 @@ def execute(args: argparse.Namespace, argv: list[str]) -> int:
         compile_filter(settings.filter, diff=args.command == "diff")
     if args.command == "list" and args.start_after and (args.resume or args.hints_file):
         raise R.UsageError("a start key goes with neither hints nor a resumed run")
+    if args.trace_compat and not any(p.startswith("folder:") for p in args.inputs):
+        raise R.UsageError("only a listing over an API has calls to trace")
     if args.dry_run or args.plan_json:
         print(json.dumps({"command": args.command, "inputs": args.inputs, "output": args.output_dir, "filter": settings.filter, "segments": len(bounds) + 1, "boundary_preview": preview(bounds, 3), "time": datetime.now().isoformat()}))
         return R.EXIT_OK
+    if args.trace_compat:
+        try:
+            os.makedirs(args.trace_compat, exist_ok=True)
+        except OSError as e:
+            print(f"no trace folder: {e}", file=sys.stderr)
+            return R.EXIT_OUTPUT
     spark = config.session(settings.threads or "*")
-    sides = [inventory(spark, p, bounds, settings, token) for p in args.inputs]
+    sides = [inventory(spark, p, bounds, settings, token, args.trace_compat) for p in args.inputs]
     kind, alone = "parquet", False
     if args.command == "list":
         kind, alone = args.output_format, args.summary_only

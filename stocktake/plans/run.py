@@ -117,7 +117,9 @@ def run_list(listing: DataFrame, out: str, prefix: str = "", start_after: str =
         for i in range(0, len(todo), wave):
             part = todo[i : i + wave]
             name = f"wave={part[0]:05}-{part[-1]:05}"
-            rows = remaining(scoped, bounds, sorted(set(range(journal.total_segments)) - set(part)))
+            # the range that spans the wave reaches any scan, also one that takes no alternatives
+            span = (bounds[part[0] - 1] if part[0] else None, bounds[part[-1]] if part[-1] < len(bounds) else None)
+            rows = remaining(scope(scoped, segment=span), bounds, sorted(set(range(journal.total_segments)) - set(part)))
             journal.waves[name] = one(rows, f"{target}/{name}", "overwrite")
             journal.complete(*part)
             journal.save(resume)

@@ -67,3 +67,15 @@ def test_discovery_cache_and_probes(spark, folder, tmp_path, monkeypatch, capsys
     assert main(["compat-probe", str(tmp_path / "p.json")]) == 6
     said = json.loads(capsys.readouterr().out)
     assert said["overall"] == {"https://x": "partial"} and said["errors"][0]["diagnosis"] == "access_denied"
+
+
+def test_trace_of_a_run(spark, folder, tmp_path):
+    from stocktake.operators.trace import by_operation, read_trace
+
+    out, calls = ["--output-dir", str(tmp_path / "x")], str(tmp_path / "calls")
+    (tmp_path / "h").write_text("b/\n")
+    assert main(["list", folder, *out, "--hints-file", str(tmp_path / "h"), "--trace-compat", calls]) == 0
+    assert {r[0]: r[1] for r in by_operation(read_trace(spark, calls)).collect()} == {"ListObjectsV2": 2, "ListObjectsV2SegmentSummary": 2}
+    assert main(["list", str(tmp_path / "x/rows"), *out, "--trace-compat", calls]) == 2
+    (tmp_path / "file").write_text("")
+    assert main(["list", folder, *out, "--trace-compat", str(tmp_path / "file")]) == 5

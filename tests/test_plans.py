@@ -12,7 +12,7 @@ from stocktake.plans import probe as P
 from stocktake.plans import run as R
 from stocktake.plans.checkpoint import CheckpointError, Identity, Journal, start
 from stocktake.schema import TRACE
-from stocktake.sources.paged import FolderPager, ListingError, ObjectListSource, Page, list_segment
+from stocktake.sources.paged import FolderPager, ListingError, Page, list_segment, register
 from stocktake.streaming import trace_stream
 
 
@@ -110,7 +110,7 @@ def test_folder_source(spark, tmp_path):
         p = tmp_path / "r" / k
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(k)
-    spark.dataSource.register(ObjectListSource)
+    register(spark)
     read = lambda **o: [r["Key"] for r in spark.read.format("objlist").options(path=str(tmp_path / "r"), **o).load().orderBy("Key").collect()]
     assert read() == ["a.txt", "m/x", "n.txt", "t/y", "u.txt", "z.txt"]
     assert read(boundaries="m/\nt/y", max_keys="1") == read()
@@ -121,6 +121,42 @@ def test_folder_source(spark, tmp_path):
         read(continuation_token="x", start_after="y")
 
 
+def test_ranges_and_traces_of_listings(spark, tmp_path):
+    """Ranges that a query asks for are not listed beyond; every call is traced, and every segment."""
+    keys = [f"{d}/{i}" for d in "abcd" for i in range(5)]
+    for k in keys:
+        p = tmp_path / "r" / k
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(k)
+    register(spark)
+
+    def read(name, condition, **o):
+        rows = spark.read.format("objlist").options(path=str(tmp_path / "r"), trace=str(tmp_path / name), max_keys="2", boundaries="b/\nc/\nd/", **o).load().where(condition)
+        got = sorted(r["Key"] for r in rows.collect())
+        return got, T.read_trace(spark, str(tmp_path / name)).cache() if (tmp_path / name).exists() else None
+
+    got, trace = read("all", "true")
+    assert got == keys and trace.where("_corrupt_record is not null").count() == 0
+    ends = {r["segment_index"]: (r["objects"], r["ended_by"]) for r in T.segment_summary(trace).collect()}
+    assert ends == {0: (5, "boundary"), 1: (5, "boundary"), 2: (5, "boundary"), 3: (5, "pagination")}
+    calls = trace.where("operation = 'ListObjectsV2'")
+    assert calls.where("http_status = 200 and first_key <= last_key and contents_count = key_count").count() == calls.count() >= 12
+    got, trace = read("range", "Key > 'b/1' and Key <= 'b/4'")
+    assert got == ["b/2", "b/3", "b/4"]
+    assert [(r["objects"], r["ended_by"]) for r in T.segment_summary(trace).collect()] == [(3, "boundary")]
+    got, trace = read("prefix", "startswith(Key, 'c/')")
+    assert got == [f"c/{i}" for i in range(5)] and {r[0] for r in trace.select("prefix").distinct().collect()} == {"c/"}
+    assert read("none", "Key > 'z' and Key <= 'b'") == ([], None)
+
+
+def test_failed_calls_are_traced(tmp_path):
+    (tmp_path / "k").write_text("x")
+    seen = []
+    with pytest.raises(ListingError):
+        list(list_segment(Shaky(FolderPager(str(tmp_path)), "AccessDenied", every=1), log=lambda **e: seen.append(e)))
+    assert [e.get("s3_error_code") for e in seen] == ["AccessDenied", None] and seen[0]["fatal"] and seen[1]["ended_by"] == "error"
+
+
 class Shaky:
     """Every other page fails."""
 
