@@ -9,11 +9,17 @@ within ``GATE`` of their bits (4.5 deviations above the mean at the least simila
 A candidate becomes a link only when its whole sets (of 64-bit hashes) have the least
 similarity.
 
-Large buckets that still hold several components after their first links are joined
-to groups by the nodes that they share. A group's nodes outside its largest component
-are compared in blocks, with each other and with the blocks of that component: whole
-sets meet there, the most alike first, and a pair is verified only while it would join
-two components. So no pairs of a group are written, but for links.
+Of large buckets that still hold several components after their first links, only the
+nodes with a candidate in another component go on; these are found in the bucket, on
+what probes carry, and only the nodes are written. They are joined to groups by the
+buckets that they share. A group's nodes outside its largest component are compared in
+blocks, with each other and with the blocks of that component: whole sets meet there,
+the most alike first, and a pair is verified only while it would join two components.
+So no pairs of a group are written, but for links, and sets are dealt to pairs of
+blocks only where texts are alike, not where large tables fill buckets by chance.
+
+Sets of fewer than ``SMALLEST`` shingles have no other set at the least similarity and
+are not probed. Most chance buckets are theirs: their fingerprints have few bits set.
 
 Defined results: null and empty texts have one (empty) set; a text shorter than a
 shingle is one shingle.
@@ -40,6 +46,8 @@ LEAST = (4, 5)
 APART = math.acos(2 * LEAST[0] / (LEAST[0] + LEAST[1])) / math.pi
 #: The share of pairs at the least similarity that the plan may miss.
 MISS = 0.001
+#: The size of the smallest set to which a larger one can have that similarity, and of the smallest sets of equal size.
+SMALLEST, EQUAL = -(-LEAST[0] // (LEAST[1] - LEAST[0])), -(-(LEAST[0] + LEAST[1]) // (LEAST[1] - LEAST[0]))
 
 
 def gate(words: int) -> int:
@@ -92,10 +100,15 @@ def shingle_sets(docs: DataFrame, words: int, size: int) -> DataFrame:
     return doc_keys(docs).mapInArrow(run, "did long, rid long, node long, hashes binary, f array<long>")
 
 
+def fitting(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether different sets of the sizes ``n[a]`` and ``n[b]`` can have the least similarity."""
+    x, y = n[a], n[b]
+    return (LEAST[1] * np.minimum(x, y) >= LEAST[0] * np.maximum(x, y)) & ((x != y) | (x >= EQUAL))
+
+
 def near(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Candidates among rows ``(key, node, n, f0, f1)``: sizes that allow the similarity, and fingerprints within the gate."""
-    n = rows[:, 2]
-    ok = LEAST[1] * np.minimum(n[a], n[b]) >= LEAST[0] * np.maximum(n[a], n[b])
+    ok = fitting(rows[:, 2], a, b)
     at = np.flatnonzero(ok)
     ok[at] = np.bitwise_count((rows[a[at], 3:5] ^ rows[b[at], 3:5]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= GATE
     return ok
@@ -118,7 +131,7 @@ def block_links(rows: dict) -> list[tuple[int, int]]:
     for lo in range(0, len(n), 64):
         a, b = np.nonzero((comp[lo : lo + 64, None] < comp[None, :]) & ((own[lo : lo + 64, None] != own[None, :]) | (own[0] == own[-1])))
         a += lo
-        fine = LEAST[1] * np.minimum(n[a], n[b]) >= LEAST[0] * np.maximum(n[a], n[b])
+        fine = fitting(n, a, b)
         a, b = a[fine], b[fine]
         far = np.zeros(len(a), np.int64)
         for k in range(f.shape[1]):
@@ -132,8 +145,71 @@ def block_links(rows: dict) -> list[tuple[int, int]]:
     return found
 
 
+def block_sizes(rows: DataFrame, by: str) -> DataFrame:
+    """``(by, largest, inside, outside)``: the largest component, and blocks inside and outside it, where there are several."""
+    per = rows.groupBy(by, "component").agg(F.count("*").alias("m"))
+    most = per.groupBy(by).agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    return most.select(by, F.col("top.component").alias("largest"), blocks(F.col("top.m")).alias("inside"), blocks(F.col("all") - F.col("top.m")).alias("outside")).where("outside > 0")
+
+
+def block_pairs(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """``(pair, own, *names)``: rows with ``block_sizes``, once for each pair of blocks that theirs is in."""
+    # blocks of the largest component have numbers below 0; they aren't compared with each other
+    mine = F.col("component") == F.col("largest")
+    own = F.when(mine, -1 - F.pmod(F.xxhash64("node"), F.col("inside"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outside"))).cast("int").alias("own")
+    other = F.sequence(F.when(mine, 0).otherwise(-F.col("inside")), F.col("outside") - 1)
+    dealt = rows.select("*", own).withColumn("other", F.explode(other))
+    dealt = dealt.withColumn("pair", F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))).select("pair", "own", *names)
+    return dealt.repartition("pair").sortWithinPartitions("pair", "own")
+
+
+def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one pair of blocks after the other."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        pair = b["pair"].to_numpy()
+        edge = np.flatnonzero(np.diff(pair, prepend=pair[:1] - 1, append=pair[-1:] + 1))
+        for x, y in zip(edge, edge[1:]):
+            if held and pair[x] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = pair[x]
+            held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def with_candidates(rows: np.ndarray) -> np.ndarray:
+    """Which rows ``(key, node, n, f0, f1, component, own)`` of one or two blocks have a candidate in another component."""
+    comp, own = rows[:, 5], rows[:, 6]
+    found = np.zeros(len(rows), bool)
+    step = max(1, (1 << 18) // len(rows))
+    for lo in range(0, len(rows), step):
+        a, b = np.nonzero((comp[lo : lo + step, None] < comp[None, :]) & ((own[lo : lo + step, None] != own[None, :]) | (own[0] == own[-1])))
+        ok = near(rows, a + lo, b)
+        found[a[ok] + lo] = found[b[ok]] = True
+    return found
+
+
+def met(large: DataFrame) -> DataFrame:
+    """``(key, node, component)``: rows of large buckets with a candidate of another component in theirs."""
+    names = ["key", "node", "n", "f0", "f1", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each_pair(batches):
+            rows = np.column_stack([t[c].to_numpy().astype(np.int64) for c in (*names, "own")])
+            rows = rows[with_candidates(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1, 5)], ["key", "node", "component"])
+
+    found = block_pairs(large.join(block_sizes(large, "key"), "key"), "key", names).mapInArrow(run, "key long, node long, component long")
+    return stash(found.distinct(), "met")
+
+
 def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(u, v)``: links between components among nodes that share buckets ``large(key, node, component)``."""
+    """``(u, v)``: links between components among nodes that share buckets ``large(key, node, n, f0, f1, component)``."""
+    large = met(large)
     least = large.groupBy("key").agg(F.min("node").alias("v"))
     members = stash(large.join(least, "key").select("node", "component", "v"), "members")
     # a node's buckets are joined by the least of their first nodes, so that few links are left
@@ -143,43 +219,18 @@ def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     named = members.select("node", "component").distinct().join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     named = stash(named, "groups")
     drop_stash(members)
-    per = named.groupBy("group", "component").agg(F.count("*").alias("m"))
-    most = per.groupBy("group").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
-    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
-    sizes = most.select("group", F.col("top.component").alias("largest"), blocks(F.col("top.m")).alias("inside"), blocks(F.col("all") - F.col("top.m")).alias("outside")).where("outside > 0")
-    there = stash(named.join(sizes, "group"), "there")
+    there = stash(named.join(block_sizes(named, "group"), "group"), "there")
+    drop_stash(large)
     need = maybe_broadcast(there.select("node"), there.count(), 64)
     own_sets = sets.join(need, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
     whole = there.join(nodes.join(need, "node", "left_semi"), "node").join(own_sets, "node")
-    # blocks of the largest component have numbers below 0; they aren't compared with each other
-    mine = F.col("component") == F.col("largest")
-    own = F.when(mine, -1 - F.pmod(F.xxhash64("node"), F.col("inside"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outside"))).cast("int").alias("own")
-    other = F.sequence(F.when(mine, 0).otherwise(-F.col("inside")), F.col("outside") - 1)
-    dealt = whole.select("group", "node", "component", "n", "f", "hashes", own, F.explode(other).alias("other"))
-    names = ["pair", "node", "component", "own", "n", "f", "hashes"]
-    dealt = dealt.withColumn("pair", F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))).select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-
-        def links() -> pa.RecordBatch:
-            pairs = block_links(pa.Table.from_batches(held).to_pydict())
-            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], ["u", "v"])
-
-        for b in batches:
-            pair = b["pair"].to_numpy()
-            edge = np.flatnonzero(np.diff(pair, prepend=pair[:1] - 1, append=pair[-1:] + 1))
-            for x, y in zip(edge, edge[1:]):
-                if held and pair[x] != now:
-                    yield links()
-                    held = []
-                now = pair[x]
-                held.append(b.slice(x, y - x))
-        if held:
-            yield links()
+        for t in each_pair(batches):
+            pairs = block_links(t.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], ["u", "v"])
 
-    return stash(dealt.repartition("pair").sortWithinPartitions("pair", "own").mapInArrow(run, "u long, v long"), "links", BATCH)
+    return stash(block_pairs(whole, "group", ["node", "component", "n", "f", "hashes"]).mapInArrow(run, "u long, v long"), "links", BATCH)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,7 +261,7 @@ def jaccard_components(docs: DataFrame, words: int) -> DataFrame:
     fresh = rows.where("hashes is not null")
     names = [f"f{i}" for i in range(size)]
     nodes = stash(fresh.groupBy("node").agg(F.first((F.length("hashes") / 8).cast("long")).alias("n"), F.first("f").alias("f")), "nodes")
-    wide = nodes.select("node", "n", *[F.col("f")[i].alias(c) for i, c in enumerate(names)])
+    wide = nodes.where(F.col("n") >= SMALLEST).select("node", "n", *[F.col("f")[i].alias(c) for i, c in enumerate(names)])
     plan = make_plan(*reversed(sampled(wide, names)), Alike(APART, MISS))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,3 +98,40 @@ def test_rows_are_linked_by_texts_alone(spark, sf):
     rows += [(200, texts[0]), (201, texts[20]), (None, texts[35])]
     got = near(spark, sf, rows)
     assert sorted(got, key=str) == sorted([(None, t) for t in texts[:15]] + [(7, t) for t in texts[15:30]] + [(None, texts[35])] + [(100 + i, t) for i, t in enumerate(texts[30:]) if i != 5], key=str)
+
+
+def test_unlike_texts_of_large_buckets_are_not_dealt(spark, sf, monkeypatch):
+    """Buckets that are large by chance and share a node with the next: only nodes with a candidate get their sets dealt."""
+    rng, dealt = np.random.default_rng(14), []
+    stash = jaccard.stash
+
+    def spy(df, name="part", *more):
+        out = stash(df, name, *more)
+        if name == "there":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stash", spy)
+    sets = [np.unique(rng.integers(0, 2**63, 30).astype(np.uint64) * np.uint64(2)) for _ in range(1201)]
+    sets[700] = np.sort(np.append(sets[650][:-1], np.uint64(1)))
+    f = [simhash.fingerprint(s, 4) for s in sets]
+    large = [(k, i, 30, *f[i][:2], i) for k in range(4) for i in range(300 * k, 300 * k + 301)]
+    large = spark.createDataFrame(large, "key long, node long, n long, f0 long, f1 long, component long")
+    nodes = spark.createDataFrame([(i, 30, x) for i, x in enumerate(f)], "node long, n long, f array<long>")
+    whole = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, hashes binary")
+    assert [tuple(r) for r in jaccard.group_links(large, nodes, whole).collect()] == [(700, 650)]
+    assert 2 <= dealt[0] < 20
+
+
+def test_sizes_that_cannot_be_alike():
+    sizes = np.arange(1, 60)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(59), np.arange(59)))
+    most = [max((both / (x + y - both) for both in range(1, min(x, y) + 1) if both < max(x, y)), default=0) for x, y in zip(sizes[a], sizes[b])]
+    assert (jaccard.fitting(sizes, a, b) == (np.array(most) >= 0.8 - 1e-12)).all()
+    assert not jaccard.fitting(sizes, a, b)[np.minimum(sizes[a], sizes[b]) < jaccard.SMALLEST].any()
+
+
+def test_small_sets(spark, sf):
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))) for i in range(400)]
+    assert near(spark, sf, rows) == kept(rows)
