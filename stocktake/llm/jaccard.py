@@ -5,13 +5,13 @@ a bit differs between sets at the least similarity with probability ``APART``, s
 plan of parts is made that misses such a pair with probability ``MISS`` (``simhash``),
 and fewer of those that are more alike. The fingerprints have as many words as that
 takes for the number of nodes. Probes carry the first two words: candidates must be
-within ``GATE`` of their bits (4.5 deviations above the mean at the least similarity).
+within ``gate`` of their bits (4.5 deviations above the mean at the least similarity).
 A candidate becomes a link only when its whole sets (of 64-bit hashes) have the least
 similarity.
 
 Of large buckets that still hold several components after their first links, only the
 nodes with a candidate in another component go on; these are found in the bucket, on
-what probes carry, and only the nodes are written. They are joined to groups by the
+what probes carry and then on whole fingerprints, and only the nodes are written. They are joined to groups by the
 buckets that they share. A group's nodes outside its largest component are compared in
 blocks, with each other and with the blocks of that component: whole sets meet there,
 the most alike first, and a pair is verified only while it would join two components.
@@ -56,7 +56,6 @@ def gate(words: int) -> int:
     return math.ceil(bits * APART + 4.5 * math.sqrt(bits * APART * (1 - APART)))
 
 
-GATE = gate(2)
 #: Sets in a block.
 BLOCK = 2048
 #: Pairs of sets that reach a Python worker at once.
@@ -107,10 +106,10 @@ def fitting(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Candidates among rows ``(key, node, n, f0, f1)``: sizes that allow the similarity, and fingerprints within the gate."""
+    """Candidates among rows ``(key, node, n, f0, f1, ...)``: sizes that allow the similarity, and fingerprints within the gate."""
     ok = fitting(rows[:, 2], a, b)
     at = np.flatnonzero(ok)
-    ok[at] = np.bitwise_count((rows[a[at], 3:5] ^ rows[b[at], 3:5]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= GATE
+    ok[at] = np.bitwise_count((rows[a[at], 3:] ^ rows[b[at], 3:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= gate(rows.shape[1] - 3)
     return ok
 
 
@@ -182,8 +181,8 @@ def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def with_candidates(rows: np.ndarray) -> np.ndarray:
-    """Which rows ``(key, node, n, f0, f1, component, own)`` of one or two blocks have a candidate in another component."""
-    comp, own = rows[:, 5], rows[:, 6]
+    """Which rows ``(key, node, n, f0, ..., component, own)`` of one or two blocks have a candidate in another component."""
+    comp, own, rows = rows[:, -2], rows[:, -1], rows[:, :-2]
     found = np.zeros(len(rows), bool)
     step = max(1, (1 << 18) // len(rows))
     for lo in range(0, len(rows), step):
@@ -193,23 +192,28 @@ def with_candidates(rows: np.ndarray) -> np.ndarray:
     return found
 
 
-def met(large: DataFrame) -> DataFrame:
-    """``(key, node, component)``: rows of large buckets with a candidate of another component in theirs."""
-    names = ["key", "node", "n", "f0", "f1", "component"]
+def met(large: DataFrame, prints: list[str]) -> DataFrame:
+    """``(key, node, component)``: rows of large buckets with a candidate of another component in theirs, by the fingerprint's words ``prints``."""
+    names = ["key", "node", "n", *prints, "component"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_pair(batches):
             rows = np.column_stack([t[c].to_numpy().astype(np.int64) for c in (*names, "own")])
             rows = rows[with_candidates(rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1, 5)], ["key", "node", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1, -2)], ["key", "node", "component"])
 
     found = block_pairs(large.join(block_sizes(large, "key"), "key"), "key", names).mapInArrow(run, "key long, node long, component long")
     return stash(found.distinct(), "met")
 
 
-def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def group_links(large: DataFrame, nodes: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """``(u, v)``: links between components among nodes that share buckets ``large(key, node, n, f0, f1, component)``."""
-    large = met(large)
+    some = met(large, ["f0", "f1"])
+    prints = nodes.select("node", "n", *[F.col("f")[i].alias(f"f{i}") for i in range(size)])
+    printed = stash(some.join(prints, "node"), "printed")
+    large = met(printed, [f"f{i}" for i in range(size)])
+    for done in (some, printed):
+        drop_stash(done)
     least = large.groupBy("key").agg(F.min("node").alias("v"))
     members = stash(large.join(least, "key").select("node", "component", "v"), "members")
     # a node's buckets are joined by the least of their first nodes, so that few links are left
@@ -275,7 +279,7 @@ def jaccard_components(docs: DataFrame, words: int) -> DataFrame:
 
     posted = wide.mapInArrow(probe, "key long, node long, n long, f0 long, f1 long")
     sets = fresh.select("node", "hashes")
-    links = posted_links(posted, near, lambda pairs: verified(pairs, sets), lambda large: group_links(large, nodes, sets))
+    links = posted_links(posted, near, lambda pairs: verified(pairs, sets), lambda large: group_links(large, nodes, sets, size))
     labels = connected_components(links)
     out = stash(rows.select("did", "rid", "node").join(labels, "node", "left").select("did", "rid", F.coalesce("component", "node").alias("component")), "labels")
     drop_stash(rows)
