@@ -19,7 +19,7 @@ So no pairs of a group are written, but for links, and sets are dealt to pairs o
 blocks only where texts are alike, not where large tables fill buckets by chance.
 
 Sets of fewer than ``SMALLEST`` shingles have no other set at the least similarity and
-are not probed. Most chance buckets are theirs: their fingerprints have few bits set.
+are not probed.
 
 Defined results: null and empty texts have one (empty) set; a text shorter than a
 shingle is one shingle.
